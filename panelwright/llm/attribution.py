@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelwright.llm.common import let
+
 RULES = ("first", "last", "most", "share")
 
 
@@ -78,9 +80,8 @@ def attribute(starts: np.ndarray, ends: np.ndarray, section_ends: np.ndarray, ru
 
 def line_sizes(text: Column) -> Column:
     """Code points of each line of text, with its newline; none for a null or empty text."""
-    last = F.size(F.split(text, "\n")) - 1
-    sizes = F.transform(F.split(text, "\n"), lambda line, i: F.length(line).cast("long") + (i < last).cast("long"))
-    return F.when(text != "", F.filter(sizes, lambda n: n > 0)).otherwise(F.array().cast("array<long>"))
+    sizes = lambda lines: F.transform(lines, lambda line, i: F.length(line).cast("long") + (i < F.size(lines) - 1).cast("long"))
+    return F.when(text != "", F.filter(let(F.split(text, "\n"), sizes), lambda n: n > 0)).otherwise(F.array().cast("array<long>"))
 
 
 def counter(path: str, pattern: str, rule: str = "first"):

@@ -16,20 +16,20 @@ Null and empty texts have no tokens and decode to no bytes. Long texts are encod
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Characters U+0100 to U+01FF stand for the bytes 0 to 255: letters all, none of them white space.
 FIRST_CHAR = 0x100
 #: Pre-tokens whose ids a worker keeps before it starts afresh.
-CACHED = 400_000
+CACHED = 250_000
 #: Texts whose new pre-tokens are merged together.
 TEXTS = 256
 
@@ -131,46 +131,32 @@ def codec(model: bytes, pattern: str) -> Codec:
     return Codec(model, pattern)
 
 
-def encoder(path: str, pattern: str):
-    """A pandas UDF from a text to its token ids, array<int>."""
-    model = serialise_model(read_ranks(path))
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = codec(model, pattern)
-        for texts in batches:
-            out = []
-            for at in range(0, max(1, len(texts)), TEXTS):
-                out += [np.frombuffer(ids, "<i4") for ids in one.encode(texts.iloc[at : at + TEXTS])]
-            yield pd.Series(out, dtype=object)
-
-    return encode
+def coded(df: DataFrame, path: str, pattern: str, text: str = "text", decode: bool = True) -> DataFrame:
+    """df with ``token_ids`` (array<int>), ``ids_sha256`` of the ids as little-endian unsigned 32-bit integers, and, unless
+    decode is false, ``decoded``: the bytes that the ids stand for.
 
-
-def decoder(path: str, pattern: str):
-    """A pandas UDF from token ids to the bytes they stand for; null ids give no bytes."""
+    Columns of these names in df are replaced. Batches go out in steps of TEXTS rows, so a worker holds
+    the ids of few texts at a time.
+    """
     model = serialise_model(read_ranks(path))
+    base = df.drop("token_ids", "ids_sha256", "decoded")
+    out = T.StructType([*base.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("ids_sha256", T.StringType())])
+    if decode:
+        out.add("decoded", T.BinaryType())
 
-    @F.pandas_udf(T.BinaryType())
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = codec(model, pattern)
-        for rows in batches:
-            yield pd.Series([b"" if ids is None else one.decode(np.asarray(ids).tolist()) for ids in rows], dtype=object)
-
-    return decode
+    names = out.names
 
-
-@F.pandas_udf(T.StringType())
-def ids_digest(rows: pd.Series) -> pd.Series:
-    """sha256 of the ids as little-endian unsigned 32-bit integers, lowercase hex."""
-    import hashlib
-
-    return pd.Series([hashlib.sha256(b"" if ids is None else np.asarray(ids, "<u4").tobytes()).hexdigest() for ids in rows])
-
-
-def token_ids(text: Column, path: str, pattern: str) -> Column:
-    return encoder(path, pattern)(text)
-
-
-def token_bytes(ids: Column, path: str, pattern: str) -> Column:
-    return decoder(path, pattern)(ids)
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = codec(model, pattern)
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                packed = one.encode(part.column(text).to_pylist())
+                ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+                made = [ids, pa.array([hashlib.sha256(x).hexdigest() for x in packed])]
+                if decode:
+                    made.append(pa.array([one.decode(np.frombuffer(x, "<i4").tolist()) for x in packed], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names)
+
+    return base.mapInArrow(code, out)

@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import attribution, bpe
+from panelwright.llm import attribution, bpe, secret_scan
 from panelwright.llm.common import table
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every text: the patterns' and the Markov models'. Null is as empty."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    models = secret_scan.train(secret_scan.default_samples(docs))
+    found = docs.select("doc_id", secret_scan.scan(F.col("text"), models).alias("found"))
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(told(F.filter("found", lambda s: s["kind"] != "markov")), 256).alias("base_sha256"),
+        told(F.col("found")).alias("spans"),
+    )
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text under the multilingual byte-level vocabulary, and the bytes they decode to.
 
@@ -16,13 +33,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers as tokenizers
 
-    vocabulary = tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN
-    ids = table(spark, sf_dir, "documents").select("doc_id", bpe.token_ids(F.col("text"), *vocabulary).alias("ids"))
-    return ids.select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.coded(docs, tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
+    return coded.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        bpe.ids_digest("ids").alias("ids_sha256"),
-        F.sha2(bpe.token_bytes(F.col("ids"), *vocabulary), 256).alias("decoded_sha256"),
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        "ids_sha256",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
@@ -43,6 +60,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_secret_scan": op4_secret_scan,
     "op7_bpe": op7_bpe,
     "op8_token_counts": op8_token_counts,
 }
