@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import attribution, bpe, secret_scan
+from panelwright.llm import attribution, bpe, html_text, secret_scan
 from panelwright.llm.common import table
 
 
@@ -59,9 +59,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page and its code points; a null page's text is empty."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", html_text.extract(F.col("html")).alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op7_bpe": op7_bpe,
     "op8_token_counts": op8_token_counts,
+    "op10_html_text": op10_html_text,
 }
 ORACLE_SQL: dict[str, str] = {}

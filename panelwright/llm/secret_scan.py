@@ -85,7 +85,7 @@ def train(samples: DataFrame, **limits) -> MarkovPair:
     return MarkovPair(counts, **limits)
 
 
-def default_samples(docs: DataFrame, n_docs: int = 500, n_random: int = 4000, seed: int = 17) -> DataFrame:
+def default_samples(docs: DataFrame, n_docs: int = 100, n_random: int = 4000, seed: int = 17) -> DataFrame:
     """Labelled samples: digests in hexadecimal and base 64, and identifiers made of a bounded sample's words.
 
     About n_docs documents, those whose hash is lowest, give the ordinary words (2 to 19 key
