@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import attribution, bpe, html_text, secret_scan
+from panelwright.llm import attribution, bpe, html_text, language, secret_scan
 from panelwright.llm.common import table
 
 
@@ -26,6 +26,15 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from the documents whose crc32 is no multiple of 5."""
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    prototypes = language.train(docs.where(fold != 0).select("doc_id", "text", "lang"))
+    found = docs.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), language.predict(F.col("text"), prototypes).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text under the multilingual byte-level vocabulary, and the bytes they decode to.
 
@@ -67,6 +76,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_secret_scan": op4_secret_scan,
+    "op6_language_id": op6_language_id,
     "op7_bpe": op7_bpe,
     "op8_token_counts": op8_token_counts,
     "op10_html_text": op10_html_text,
