@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import attribution, bpe, html_text, language, secret_scan
-from panelwright.llm.common import table
+from panelwright.llm import attribution, bpe, html_text, language, mixing, secret_scan
+from panelwright.llm.common import cut, table
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,45 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+MIX = {"weights": [5, 2, 1], "share": 1.5, "max_epochs": 2.0}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words in the mix, its source's size and target."""
+    slim = cut(mixing.slim_rows(table(spark, sf_dir, "documents")))
+    mixed = mixing.apply(slim, mixing.plan(slim, **MIX), MIX["max_epochs"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "repeats")
+
+
+OP5_SQL = """
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    CAST(('0x' || substr(md5('5:' || CAST(doc_id AS VARCHAR)), 1, 5)) AS BIGINT) AS draw
+  FROM documents
+), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT source, source_size, 2.0 * source_size AS cap, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+g AS (
+  SELECT *, row_number() OVER o AS j,
+    CAST((SELECT 1.5 * sum(source_size) FROM s) - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+      / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w WINDOW o AS (ORDER BY cap / weight, source)
+), l AS (SELECT arg_min(level, j) AS level FROM g WHERE cap >= level * weight),
+t AS (
+  SELECT source, source_size, CAST(least(cap, (SELECT level FROM l) * weight) AS DOUBLE) AS target FROM g
+), r AS (SELECT *, CAST(coalesce(floor(target / nullif(source_size, 0)), 0) AS BIGINT) AS whole FROM t),
+c AS (
+  SELECT source, draw, n, sum(n) OVER (PARTITION BY source ORDER BY draw) AS upto
+  FROM (SELECT source, draw, sum(size) AS n FROM d GROUP BY source, draw)
+), m AS (
+  SELECT c.source, max(c.draw) AS last FROM c JOIN r ON c.source IS NOT DISTINCT FROM r.source
+  WHERE c.upto - c.n / 2 <= r.target - r.whole * r.source_size GROUP BY c.source
+)
+SELECT d.doc_id, d.size, r.source_size, r.target, d.size * least(2, r.whole + CAST(d.draw <= coalesce(m.last, -1) AS BIGINT)) AS taken,
+  least(2, r.whole + CAST(d.draw <= coalesce(m.last, -1) AS BIGINT)) AS repeats
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN m ON d.source IS NOT DISTINCT FROM m.source
+"""
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text, learned from the documents whose crc32 is no multiple of 5."""
     docs = table(spark, sf_dir, "documents")
@@ -76,9 +115,12 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_secret_scan": op4_secret_scan,
+    "op5_mixing": op5_mixing,
     "op6_language_id": op6_language_id,
     "op7_bpe": op7_bpe,
     "op8_token_counts": op8_token_counts,
     "op10_html_text": op10_html_text,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": OP5_SQL,
+}
