@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import attribution, bpe, html_text, language, mixing, secret_scan
+from panelwright.llm import attribution, bpe, html_text, language, mixing, quality_rules, secret_scan
 from panelwright.llm.common import cut, table
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every text, by rules learned from the labelled documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality_rules.learn(quality_rules.labelled_statistics(docs, table(spark, sf_dir, "labels")))
+    judged = quality_rules.judge(docs, rules)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every text: the patterns' and the Markov models'. Null is as empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -114,6 +122,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
     "op5_mixing": op5_mixing,
     "op6_language_id": op6_language_id,
