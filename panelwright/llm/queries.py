@@ -5,10 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import attribution, bpe, html_text, language, mixing, quality_rules, secret_scan
+from panelwright.llm import attribution, bpe, fingerprint, html_text, language, mixing, quality_rules, secret_scan
 from panelwright.llm.common import cut, table
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edit, and how near the edit and the next text are."""
+    return fingerprint.compare_with_edit(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+e AS (
+  SELECT doc_id, n, text, coalesce(lead(text) OVER o, first_value(text) OVER o) AS following, coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next_id
+  FROM d WINDOW o AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+), f AS (SELECT *, substr(text, 1, n - n // 3) || substr(following, 1, n // 3) AS edited FROM e),
+w AS (
+  SELECT *, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS a,
+    regexp_extract_all(translate(edited, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS b FROM f
+), h AS (
+  SELECT *, CASE WHEN len(a) = 0 THEN [] ELSE list_sort(list_distinct([substr(md5(array_to_string(a[i:i + 4], ' ')), 1, 8) for i in range(1, greatest(len(a) - 3, 2))])) END AS x,
+    CASE WHEN len(b) = 0 THEN [] ELSE list_sort(list_distinct([substr(md5(array_to_string(b[i:i + 4], ' ')), 1, 8) for i in range(1, greatest(len(b) - 3, 2))])) END AS y FROM w
+), s AS (
+  SELECT doc_id, next_id, n, edited, [v for v in x if v < '40000000' OR v = x[1]] AS x, [v for v in y if v < '40000000' OR v = y[1]] AS y FROM h
+), t AS (
+  SELECT s.*, z.x AS z, len(list_intersect(s.x, s.y)) AS near_y, len(list_intersect(s.x, z.x)) AS near_z FROM s JOIN s AS z ON s.next_id = z.doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, coalesce(array_to_string(x, ''), '') AS fingerprint,
+  coalesce(array_to_string(y, ''), '') AS edited_fingerprint,
+  CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE CAST(near_y AS DOUBLE) / (len(x) + len(y) - near_y) END AS near_edited,
+  CASE WHEN len(x) + len(z) = 0 THEN 1.0 ELSE CAST(near_z AS DOUBLE) / (len(x) + len(z) - near_z) END AS near_next
+FROM t
+"""
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every text, by rules learned from the labelled documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -122,6 +152,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprint": op1_fingerprint,
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
     "op5_mixing": op5_mixing,
@@ -131,5 +162,6 @@ QUERIES = {
     "op10_html_text": op10_html_text,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_fingerprint": OP1_SQL,
     "op5_mixing": OP5_SQL,
 }
