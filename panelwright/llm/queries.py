@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import attribution, bpe, fingerprint, html_text, language, mixing, quality_rules, secret_scan
+from panelwright.llm import attribution, bpe, fingerprint, html_text, jaccard_join, language, mixing, quality_rules, secret_scan
 from panelwright.llm.common import cut, table
 
 
@@ -145,6 +145,29 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle set size and component of every document."""
+    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP9_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS a FROM documents
+), h AS (
+  SELECT doc_id, CASE WHEN len(a) = 0 THEN [] ELSE list_distinct([array_to_string(a[i:i + 4], ' ') for i in range(1, greatest(len(a) - 3, 2))]) END AS s FROM w
+), g AS (SELECT s, min(doc_id) AS rep, len(s) AS m FROM (SELECT doc_id, list_sort(s) AS s FROM h) GROUP BY s),
+x AS (SELECT rep, m, unnest(s) AS shingle FROM g),
+p AS (
+  SELECT a.rep AS u, b.rep AS v FROM x AS a JOIN x AS b ON a.shingle = b.shingle AND a.rep < b.rep AND 5 * least(a.m, b.m) >= 4 * greatest(a.m, b.m)
+  GROUP BY a.rep, b.rep, a.m, b.m HAVING 100 * count(*) >= 80 * (a.m + b.m - count(*))
+), e AS (SELECT u, v FROM p UNION SELECT v, u FROM p),
+r AS (SELECT rep AS u, rep AS root FROM g UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.u WHERE r.root < e.v),
+c AS (SELECT u, min(root) AS root FROM r GROUP BY u)
+SELECT h.doc_id, CAST(len(h.s) AS BIGINT) AS n_shingles, CASE WHEN len(h.s) = 0 THEN h.doc_id ELSE c.root END AS component_id
+FROM h JOIN g ON list_sort(h.s) = g.s JOIN c ON c.u = g.rep
+"""
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page and its code points; a null page's text is empty."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", html_text.extract(F.col("html")).alias("text"))
@@ -159,9 +182,11 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_bpe": op7_bpe,
     "op8_token_counts": op8_token_counts,
+    "op9_ngram_join": op9_ngram_join,
     "op10_html_text": op10_html_text,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_fingerprint": OP1_SQL,
     "op5_mixing": OP5_SQL,
+    "op9_ngram_join": OP9_SQL,
 }
