@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import attribution, bpe, fingerprint, html_text, jaccard_join, language, mixing, quality_rules, secret_scan
+from panelwright.llm import attribution, bpe, cotraining, fingerprint, html_text, jaccard_join, language, mixing, quality_rules, secret_scan
 from panelwright.llm.common import cut, table
 
 
@@ -39,6 +39,13 @@ FROM t
 """
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chance that each document is good, by both views and combined, and the verdict."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
+    model = cotraining.train(docs, table(spark, sf_dir, "labels"))
+    return cotraining.classify(docs, model).select("doc_id", "p_content", "p_metadata", "score", "kept")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every text, by rules learned from the labelled documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -176,6 +183,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
     "op5_mixing": op5_mixing,
