@@ -92,8 +92,14 @@ def slim_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     return docs.select(F.col(key), source_key(F.col(source)).alias("source_key"), word_count(F.col(text)).alias("size"), draw(F.col(key), seed).alias("draw"))
 
 
-def apply(rows: DataFrame, sources: DataFrame, max_epochs: float = 2.0) -> DataFrame:
-    """rows (source_key, size, draw and more) with source_size, target, repeats and taken."""
-    joined = rows.join(_small(sources), "source_key")
+def repeat(rows: DataFrame, sources: DataFrame, max_epochs: float = 2.0) -> DataFrame:
+    """rows (source_key, draw and more) with source_size, target and repeats."""
     repeats = F.least(F.col("whole") + (F.col("draw") <= F.col("last")).cast("long"), F.lit(int(max_epochs)).cast("long"))
-    return joined.withColumn("repeats", repeats).withColumn("taken", F.col("size") * F.col("repeats")).drop("whole", "last")
+    return rows.join(_small(sources), "source_key").withColumn("repeats", repeats).drop("whole", "last")
+
+
+def apply(docs: DataFrame, sources: DataFrame, max_epochs: float = 2.0, key: str = "doc_id", source: str = "source", seed: int = 5) -> DataFrame:
+    """docs, each row as often as it is repeated."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), source_key(F.col(source)).alias("source_key"), draw(F.col(key), seed).alias("draw"))
+    copies = F.sequence(F.lit(1).cast("long"), F.col("repeats"))
+    return repeat(rows, sources, max_epochs).where("repeats > 0").withColumn("_copy", F.explode(copies)).select("_row.*")

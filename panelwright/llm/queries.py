@@ -77,8 +77,8 @@ MIX = {"weights": [5, 2, 1], "share": 1.5, "max_epochs": 2.0}
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words in the mix, its source's size and target."""
     slim = cut(mixing.slim_rows(table(spark, sf_dir, "documents")))
-    mixed = mixing.apply(slim, mixing.plan(slim, **MIX), MIX["max_epochs"])
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "repeats")
+    mixed = mixing.repeat(slim, mixing.plan(slim, **MIX), MIX["max_epochs"])
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
 
 
 OP5_SQL = """
