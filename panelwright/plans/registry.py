@@ -6,7 +6,7 @@ from panelwright.sources.tables import read
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-FLAGSHIP = "region_scan"
+FLAGSHIP = "panel_features"
 
 
 def query(name: str, sql: str | None = None):
@@ -24,3 +24,6 @@ def query(name: str, sql: str | None = None):
 @query("region_scan", "SELECT r_regionkey, r_name FROM region")
 def region_scan(spark, sf_dir):
     return read(spark, sf_dir, "region").select("r_regionkey", "r_name")
+
+
+from panelwright.plans import aggregation, joining, panel, quality, retrieval, serving, streams, textual, windowed  # noqa: E402, F401
