@@ -75,3 +75,13 @@ def ranked_tiers(df: DataFrame, score: str, key: str, groups: list[str], cuts: l
     for most, name in cuts:
         tier = F.when(F.col("_share") <= most, F.lit(name)) if tier is None else tier.when(F.col("_share") <= most, F.lit(name))
     return out.withColumn("tier", F.when(scored, tier.otherwise(F.lit(rest))).otherwise(F.lit(unscored))).drop("_share")
+
+
+def diff(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Keys added, removed or changed in a column between two snapshots, with old and new values."""
+    a = old.select(*keys, *[F.col(c).alias(f"old_{c}") for c in columns], F.lit(1).alias("_a"))
+    b = new.select(*keys, *[F.col(c).alias(f"new_{c}") for c in columns], F.lit(1).alias("_b"))
+    both = a.join(b, keys, "full")
+    changed = reduce(lambda x, y: x | y, [~F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}")) for c in columns])
+    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(changed, "changed")
+    return both.withColumn("change", change).where(F.col("change").isNotNull()).drop("_a", "_b")
