@@ -71,7 +71,8 @@ def merge(a: Column, b: Column, fraction: float = FRACTION) -> Column:
 def with_next(df: DataFrame, key: str, text: str, derived: dict[str, Column]) -> DataFrame:
     """df's key and text with the derived columns, and ``next``: text and derived columns of the document that follows.
 
-    Derived columns are computed before the shuffle, once for a row and once for a block's copied successor.
+    Derived columns are computed behind the shuffle, so that only texts are dealt, once for a row and once for a block's
+    copied successor.
     """
     block = F.shiftright(F.coalesce(F.col(key), F.lit(-(1 << 63)).cast("long")), BLOCK.bit_length() - 1)
     df = df.select(key, text)
@@ -84,7 +85,8 @@ def with_next(df: DataFrame, key: str, text: str, derived: dict[str, Column]) ->
     both = df.withColumn("_block", block).withColumn("_own", F.lit(True)).unionByName(copies.withColumn("_own", F.lit(False)))
     order = Window.partitionBy("_block").orderBy(F.col("_own").desc(), F.col(key).desc_nulls_last(), text)
     following = F.lead(F.struct(text, *derived)).over(order)
-    return both.withColumns(derived).withColumn("next", following).where("_own").drop("_block", "_own")
+    dealt = both.repartition("_block").withColumns(derived)
+    return dealt.withColumn("next", following).where("_own").drop("_block", "_own")
 
 
 def compare_with_edit(docs: DataFrame, key: str = "doc_id", text: str = "text", fraction: float = FRACTION) -> DataFrame:
