@@ -1 +1,88 @@
-"""."""
+"""Streaming flows over events, run over what is available and compared with their batch meaning."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from panelwright.plans.registry import query
+from panelwright.sources.tables import read
+from panelwright.streaming import flows
+
+
+def _events(spark, sf_dir):
+    return flows.arrivals(spark, sf_dir, read(spark, sf_dir, "events").schema, "events.parquet")
+
+
+@query("stream_tumbling", "SELECT event_type, date_trunc('day', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_tumbling(spark, sf_dir):
+    stream = flows.tumbling(_events(spark, sf_dir), "ts", "1 day", ["event_type"], "2 days", [F.count("*").alias("n"), F.sum("value").alias("total")])
+    rows = flows.latest(spark, flows.run_available(stream, flows.shared_folder(spark), "update"), ["start", "event_type"])
+    return rows.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    "stream_sliding",
+    """WITH w AS (SELECT user_id, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS start FROM events WHERE event_type = 'error') SELECT user_id, start, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(*) >= 3""",
+)
+def stream_sliding(spark, sf_dir):
+    """Two-day windows, every day, in which a user had at least three errors."""
+    errors = _events(spark, sf_dir).where("event_type = 'error'")
+    stream = flows.sliding(errors, "ts", "2 days", "1 day", ["user_id"], "2 days", [F.count("*").alias("n")])
+    rows = flows.latest(spark, flows.run_available(stream, flows.shared_folder(spark), "update"), ["start", "user_id"])
+    return rows.where("n >= 3").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query(
+    "stream_sessions",
+    """WITH b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS br FROM events), i AS (SELECT *, sum(br) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM b)
+    SELECT user_id, min(ts) AS start, count(*) AS n FROM i GROUP BY user_id, s""",
+)
+def stream_sessions(spark, sf_dir):
+    stream = flows.sessions(_events(spark, sf_dir), "ts", "12 hours", ["user_id"], "2 days", [F.count("*").alias("n")])
+    rows = flows.last_batch(spark, flows.run_available(stream, flows.shared_folder(spark), "complete"))
+    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("stream_once", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, event_id FROM events) GROUP BY 1, 2")
+def stream_once(spark, sf_dir):
+    stream = flows.once(_events(spark, sf_dir), "ts", "3650 days", ["event_id"])
+    rows = spark.read.parquet(flows.run_available(stream, flows.shared_folder(spark), "append"))
+    return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query(
+    "stream_change_alerts",
+    """WITH a AS (SELECT c_custkey AS k, round(c_acctbal / 100) AS v FROM customer WHERE c_custkey % 13 <> 0), b AS (SELECT c_custkey AS k, round(c_acctbal / 100) + CASE WHEN c_custkey % 9 = 0 THEN 1 ELSE 0 END AS v FROM customer WHERE c_custkey % 17 <> 0)
+    SELECT k, CASE WHEN a.v IS NULL THEN 'added' WHEN b.v IS NULL THEN 'removed' ELSE 'changed' END AS change, a.v AS old_v, b.v AS new_v FROM a FULL JOIN b USING (k) WHERE a.v IS DISTINCT FROM b.v""",
+)
+def stream_change_alerts(spark, sf_dir):
+    """Alerts of one snapshot against the next."""
+    rows, key = read(spark, sf_dir, "customer"), F.col("c_custkey")
+    v = F.round(F.col("c_acctbal") / 100)
+    old = rows.where(key % 13 != 0).select(key.alias("k"), v.alias("v"))
+    new = rows.where(key % 17 != 0).select(key.alias("k"), (v + F.when(key % 9 == 0, 1).otherwise(0)).alias("v"))
+    return flows.change_alerts(old, new, ["k"], ["v"]).select("k", "change", "old_v", "new_v")
+
+
+@query(
+    "stream_late_fill",
+    """SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN 1 END, CASE WHEN o_orderstatus = 'F' THEN 2 END) AS realised FROM orders""",
+)
+def stream_late_fill(spark, sf_dir):
+    """Outcomes arriving late fill only what is open."""
+    orders = read(spark, sf_dir, "orders")
+    log = orders.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, 1).alias("realised"))
+    late = orders.where("o_orderstatus = 'F'").select("o_orderkey", F.lit(2).alias("realised"))
+    return flows.fill_open(log, late, ["o_orderkey"], "realised")
+
+
+@query(
+    "stream_new_by_either",
+    """WITH t AS (SELECT doc_id, md5(text) AS text_hash, md5(source || lang || CAST(n_chars AS VARCHAR)) AS url_hash FROM documents), k AS (SELECT * FROM t WHERE doc_id % 5 = 0), b AS (SELECT * FROM t WHERE doc_id % 5 <> 0),
+    u AS (SELECT *, row_number() OVER (PARTITION BY url_hash ORDER BY doc_id) AS n FROM b WHERE url_hash NOT IN (SELECT url_hash FROM k)), v AS (SELECT *, row_number() OVER (PARTITION BY text_hash ORDER BY doc_id) AS m FROM u WHERE n = 1 AND text_hash NOT IN (SELECT text_hash FROM k))
+    SELECT doc_id FROM v WHERE m = 1""",
+)
+def stream_new_by_either(spark, sf_dir):
+    """Signals new by address hash and by text hash."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("text_hash"), F.md5(F.concat("source", "lang", F.col("n_chars").cast("string"))).alias("url_hash"))
+    return flows.new_by_either(docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0"), ("url_hash", "text_hash"), ["doc_id"]).select("doc_id")
