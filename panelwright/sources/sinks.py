@@ -15,10 +15,10 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _pointer(spark: SparkSession, table: str) -> str | None:
-    fs, place = _fs(spark, f"{table}/_current")
+    fs, place = _fs(spark, f"{table}/current.json")
     if not fs.exists(place):
         return None
-    return json.loads(spark.read.text(f"{table}/_current", wholetext=True).first()[0])["version"]
+    return json.loads(spark.read.text(f"{table}/current.json", wholetext=True).first()[0])["version"]
 
 
 def read_current(spark: SparkSession, table: str) -> DataFrame | None:
@@ -33,8 +33,8 @@ def write_version(df: DataFrame, table: str, partition_by: list[str] | None = No
     version = f"v-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(f"{table}/{version}")
-    fs, place = _fs(spark, f"{table}/_current")
-    _, staged = _fs(spark, f"{table}/_staged-{version}")
+    fs, place = _fs(spark, f"{table}/current.json")
+    _, staged = _fs(spark, f"{table}/staged-{version}.json")
     out = fs.create(staged, True)
     out.write(bytearray(json.dumps({"version": version}).encode()))
     out.close()
@@ -62,8 +62,8 @@ def upsert(new: DataFrame, table: str, keys: list[str], keep_old: tuple[str, ...
     return write_version(merged(read_current(new.sparkSession, table), new, keys, keep_old), table)
 
 
-def insert_once(new: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Append those rows of new whose keys the table lacks, first of repeats in new; returns them."""
+def insert_once(new: DataFrame, path: str, keys: list[str]) -> int:
+    """Append those rows of new whose keys the table lacks, first of repeats in new; returns how many."""
     spark = new.sparkSession
     fs, place = _fs(spark, path)
     w = Window.partitionBy(*keys).orderBy(*[c for c in new.columns if c not in keys] or keys)
@@ -71,8 +71,9 @@ def insert_once(new: DataFrame, path: str, keys: list[str]) -> DataFrame:
     if fs.exists(place):
         fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
     fresh = fresh.persist()
+    n = fresh.count()
     fresh.write.mode("append").parquet(path)
-    return fresh
+    return n
 
 
 def append_log(old: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
