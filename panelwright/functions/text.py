@@ -133,3 +133,19 @@ def km_range(text: Column) -> Column:
     at = lambda km, m: part(km).try_cast("double") + F.coalesce(part(m).try_cast("double"), F.lit(0.0)) / 1000
     lo, hi = at(1, 2), at(3, 4)
     return F.when(lo <= hi, F.struct(lo.alias("lo"), hi.alias("hi")))
+
+
+def share_done(text: Column) -> Column:
+    """Share from 'a of b ha' or 'a/b ha', else from a percentage; null without either or beyond 0 to 1."""
+    ratio = r"(?i)(\d+(?:\.\d+)?)\s*(?:ha|acres?)?\s*(?:of|out of|/)\s*(\d+(?:\.\d+)?)\s*(?:ha|acres?)"
+    a, b = (F.regexp_extract(text, ratio, i).try_cast("double") for i in (1, 2))
+    percent = F.regexp_extract(text, r"(\d+(?:\.\d+)?)\s*(?:%|per ?cent)", 1).try_cast("double") / 100
+    share = F.coalesce(F.when(b > 0, a / b), percent)
+    return F.when(share.between(0, 1), share)
+
+
+def cue_state(text: Column, cue: str, states: list[tuple[str, str]]) -> Column:
+    """State whose verb comes first after the cue; ties to the earlier state; null without the cue or a verb."""
+    after = F.regexp_extract(text, f"(?is){cue}(.*)$", 1)
+    at = F.array(*[F.struct(F.regexp_instr(after, F.lit(f"((?i){verb})")).alias("at"), F.lit(i).alias("i"), F.lit(name).alias("state")) for i, (name, verb) in enumerate(states)])
+    return F.array_min(F.filter(at, lambda s: s["at"] > 0))["state"]

@@ -252,3 +252,16 @@ def dq_score(spark, sf_dir):
     note = add_token(add_token(add_token(F.lit(None).cast("string"), F.col("o_totalprice") > 300000, "large"), F.col("o_orderstatus") == "P", "partial"), F.col("o_orderpriority").startswith("1"), "urgent")
     rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.explode_outer(F.split(F.when(note != "", F.regexp_replace(note, "^;", "")), ";")).alias("token"))
     return rows.groupBy("k").agg((1 - F.least(F.count_distinct("token"), F.lit(5)) / 5.0).alias("score"))
+
+
+@query(
+    "asof_effective_rule",
+    """WITH r(segment, since, days) AS (VALUES ('BUILDING', TIMESTAMP '1992-01-01', 30), ('BUILDING', TIMESTAMP '1995-01-01', 45), ('MACHINERY', TIMESTAMP '1994-06-01', 60)),
+    o AS (SELECT o_orderkey, c_mktsegment AS segment, o_orderdate AS "at" FROM orders JOIN customer ON c_custkey = o_custkey)
+    SELECT o_orderkey, arg_max(days, since) AS days FROM o LEFT JOIN r ON r.segment = o.segment AND since <= o."at" GROUP BY 1""",
+)
+def asof_effective_rule(spark, sf_dir):
+    """The norm in force for an order's segment at its date."""
+    rules = spark.createDataFrame([("BUILDING", "1992-01-01", 30), ("BUILDING", "1995-01-01", 45), ("MACHINERY", "1994-06-01", 60)], "segment string, since string, days int").withColumn("since", F.col("since").cast("timestamp_ntz"))
+    orders = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_mktsegment").alias("segment"), F.col("o_orderdate").alias("at"))
+    return temporal.effective_rule(orders, rules, ["segment"], "at", "since", ["days"]).select("o_orderkey", "days")

@@ -52,6 +52,15 @@ def test_text_rules(spark):
     assert (r["lo"], r["hi"]) == (10.5, 12.0)
 
 
+def test_shares_and_cues(spark):
+    assert value(spark, text.share_done(F.lit("acquired 12.5 ha of 50 ha so far"))) == 0.25
+    assert value(spark, text.share_done(F.lit("about 80 % done"))) == 0.8
+    assert value(spark, text.share_done(F.lit("150% or nothing"))) is None
+    states = [("applied", "applied|submitted"), ("granted", "granted|received")]
+    assert value(spark, text.cue_state(F.lit("Forest clearance received after it was applied for"), "clearance", states)) == "granted"
+    assert value(spark, text.cue_state(F.lit("nothing to report"), "clearance", states)) is None
+
+
 def test_strict_and_inclusive_asof(spark):
     left = spark.createDataFrame([("a", 5), ("a", 1), ("b", 5)], "k string, t int")
     right = spark.createDataFrame([("a", 5, 1.0), ("a", 3, 2.0)], "k string, at int, v double")
