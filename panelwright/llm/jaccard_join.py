@@ -4,17 +4,18 @@ Two documents link when the Jaccard likeness of their sets of five-word shingles
 bands; a linked pair lies in one band or in neighbours, and is found in the smaller one's band. A
 band cuts the shingle domain into ``n`` parts by hash, and a set's signature for a part is the hash
 of its shingles there. Linked sets of sizes a <= b differ in at most k = (a + b) / 9 shingles, so at most k parts
-differ, and among the first k + 1 parts that are not empty one agrees: each set
-emits its first k + 1 signatures, enough for every size it can link with. A set with at most k such
-parts might be missed; the domain is then cut anew with another seed, until no set is short every time.
+differ and all but k of a set's parts agree. In any common order of signatures, then, the first k + 1 of both sets
+share one, so each set emits its first k + 1, enough for every size it can link with; those with the
+most shingles come first, as the least likely to agree by chance. A set with at most k parts that are not
+empty might be missed; the domain is then cut anew with another seed, until no set is short every time.
 Bands of small sets give each shingle its own part, larger ones have parts enough that none is short in practice.
 
-Signatures with two sets or more propose pairs. Each set is first checked against its signature's
-smallest document, exactly, on whole sets. Documents already in one component need no more checks. What remains are
-signatures whose documents lie in several components: small ones propose their pairs
-across components, in large ones documents must also share one of their rarest shingles (a set's
-rarest fifth and one more: two linked sets share one of those), so frequent passages propose nothing.
-Equal sets are found by a 128-bit key and neither compared nor proposed again.
+Signatures of up to FEW sets propose their pairs, and a pair that shares too few signatures for its sizes is
+dropped; larger signatures propose pairs with their smallest document. Proposed pairs are compared exactly, on whole
+sets: each set with its likeliest partner first, then with those outside its component. What remains are large
+signatures whose documents lie in several components: there documents must also share one of their rarest
+shingles (a set's rarest fifth and one more: two linked sets share one of those), so frequent passages
+propose nothing. Equal sets are found by a 128-bit key; one of them is compared.
 
 Sets are 64-bit hashes of shingles. Null or empty texts, or texts of white space, have no shingle and link with
 nothing. Rows of one id are one node; each row reports its own set's size. Rows with a null id link with nothing and
@@ -37,12 +38,11 @@ from panelwright.llm.components import components
 WORDS = 5
 #: Links need NUM / DEN of the union in the intersection.
 NUM, DEN = 4, 5
-#: Signatures with up to so many documents propose all their pairs across components.
-FEW = 24
+#: Signatures with up to so many documents propose all their pairs.
+FEW = 12
 #: Rows up to which ids and pairs (about 32 bytes each) are broadcast to the scan of texts; beyond, Spark joins.
 BROADCAST_ROWS = 1_000_000
 TEXTS = 512
-CACHED = 500_000
 #: Set keys a task remembers, so that copies within it emit their signatures once.
 REMEMBERED = 200_000
 SHORT = -(1 << 62)
@@ -58,25 +58,46 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> r)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > CACHED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_words = WordHashes()
+#: A 64-bit value of every byte, A-Z as a-z, and which bytes are white space.
+_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BYTE[65:91] = _BYTE[97:123]
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: An odd base and its inverse modulo 2**64; a word's hash is the polynomial of its bytes' values.
+_BASE = 0x5851F42D4C957F2D
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes hashed at a time, so that long texts take no more memory than this asks for.
+BLOCK = 1 << 20
+
+
+@lru_cache(maxsize=16)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+def word_hashes(data: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of UTF-8 bytes, in order."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]])))
+    starts, ends = edges[0::2], edges[1::2]
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        upto = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK, "right")))
+        first, last = starts[at], ends[upto - 1]
+        size = 1 << max(12, int(last - first).bit_length())
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data[first:last]] * _powers(_BASE, size)[: last - first])])
+        a, b = starts[at:upto] - first, ends[at:upto] - first
+        out[at:upto] = (sums[b] - sums[a]) * _powers(_INVERSE, size)[a]
+        at = upto
+    return _mix(out)
 
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles; A-Z are lowered."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    w = word_hashes(np.frombuffer((text or "").encode(), np.uint8))
+    if not len(w):
+        return w
     if len(w) < WORDS:
         return _mix((w * _STEP[: len(w)]).sum(keepdims=True) + np.uint64(len(w)))
     n = len(w) - WORDS + 1
@@ -105,20 +126,18 @@ def signatures(found: np.ndarray, seed: int) -> tuple[np.ndarray, bool]:
     """A set's signatures, and whether it has too few parts to be sure of every link."""
     m, edges = len(found), band_edges()
     band = int(np.searchsorted(edges, m, "right")) - 1
-    roles = [(band, (m + m * DEN // NUM) // 9)]
-    if band and NUM * m <= DEN * (int(edges[band]) - 1):
-        roles.append((band - 1, (m + int(edges[band]) - 1) // 9))
+    k = (m + m * DEN // NUM) // 9
+    bands = [band, band - 1] if band and NUM * m <= DEN * (int(edges[band]) - 1) else [band]
     if seed:
         found = np.sort(_mix(found + np.uint64(seed) * _STEP[1]))
     top, content, out, short = found >> np.uint64(32), _mix(found ^ _STEP[2]), [], False
-    for b, k in roles:
+    for b in bands:
         part = top * np.uint64(parts(b)) >> np.uint64(32)
         starts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
         short |= b == band and len(starts) <= k
-        used = starts[: k + 1]
-        ends = starts[k + 1 : k + 2]
-        sums = np.add.reduceat(content[: int(ends[0])] if len(ends) else content, used)
-        out.append(_mix(sums + part[used] * _STEP[3] + _STEP[4:] * np.uint64(b + 1) + np.uint64(seed)))
+        sigs = _mix(np.add.reduceat(content, starts) + part[starts] * _STEP[3] + _STEP[4:] * np.uint64(b + 1) + np.uint64(seed))
+        fullest = np.lexsort((sigs, starts - np.append(starts[1:], m)))
+        out.append(sigs[fullest[: k + 1]])
     return np.concatenate(out), short
 
 
@@ -186,8 +205,14 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return _per_text(chosen, lambda sets, columns, _: pa.RecordBatch.from_arrays([*columns, _lists(sets)], names), schema)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, written once, and to be broadcast if it has few rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (u < v) whose sets are alike enough, compared whole."""
+    """Those of the distinct pairs (u, v) whose sets are alike enough, compared whole."""
     pairs = cut(pairs)
     of_v = pairs.groupBy(F.col("v").alias("id")).agg(F.collect_list("u").alias("us"))
     left = sets_of(docs, of_v).select(F.col("id").alias("v"), F.explode("us").alias("u"), F.col("shingles").alias("a"))
@@ -204,12 +229,6 @@ def _across(rows: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys).where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv"))).select("u", "v").distinct()
 
 
-def _mixed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows whose keys are shared by documents of several roots, with their number n."""
-    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    return rows.join(groups.where("lo <> hi").select(*keys, "n"), keys)
-
-
 def _sharing_rare(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Pairs across roots of rows (id, root) that share one of the rarest shingles of each."""
     elements = cut(sets_of(docs, rows.distinct()).select("id", "root", F.size("shingles").alias("m"), F.explode("shingles").alias("shingle")))
@@ -220,25 +239,74 @@ def _sharing_rare(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return _across(rarest.where("lo <> hi").select("shingle", "id", "root"), ["shingle"])
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """Links u < v that give the components of docs (id, text): all pairs needed, each of them exact."""
-    out, short, seed = None, None, 0
-    by_sig = Window.partitionBy("sig")
+def _rooted(df: DataFrame, column: str, roots: DataFrame, name: str) -> DataFrame:
+    """df with the root (v of roots, where its u is the column's id) of a column, or the id itself."""
+    found = roots.select(F.col("u").alias(column), F.col("v").alias(name))
+    return df.join(F.broadcast(found) if roots.count() <= BROADCAST_ROWS else found, column, "left").withColumn(name, F.coalesce(name, column))
+
+
+def _sized(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of the pairs u, v whose sizes allow a link, with the sizes: au to bu and av to bv, which differ only for
+    repeated ids."""
+    size = found.groupBy("id").agg(F.min("n_shingles").alias("a"), F.max("n_shingles").alias("b"))
+    few = size.count() <= BROADCAST_ROWS
+    both = pairs
+    for end in ("u", "v"):
+        of = size.select(F.col("id").alias(end), F.col("a").alias(f"a{end}"), F.col("b").alias(f"b{end}"))
+        both = both.join(F.broadcast(of) if few else of, end)
+    return both.where((DEN * F.col("bu") >= NUM * F.col("av")) & (DEN * F.col("bv") >= NUM * F.col("au")))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of the pairs u, v that lie in different components."""
+    both = _rooted(_rooted(pairs, "u", roots, "ru"), "v", roots, "rv")
+    return both.where("ru <> rv").select(*pairs.columns)
+
+
+def proposals(shared: DataFrame, found: DataFrame, certain: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs u, v (with n, the signatures they share) of the small signatures, and of every large one with its smallest
+    document.
+
+    With no set short, a linked pair shares at least k + 1 - (a + b) / 9 signatures, k being the smaller set's; those with fewer
+    in small signatures can only be linked if they meet in a large one, which the other pairs see to.
+    """
+    pairs = shared.where(F.col("n") <= FEW).select(F.col("id").alias("u"), F.explode("next").alias("v")).where("u <> v").groupBy("u", "v").agg(F.count("*").alias("n"))
+    least = F.least("au", "av")
+    need = F.floor((least + F.floor(least * DEN / NUM)) / 9) + 1 - F.floor((F.col("bu") + F.col("bv")) / 9) if certain else F.lit(1)
+    pairs = _sized(pairs, found).where(F.col("n") >= need).select("u", "v", "n")
+    stars = shared.where((F.col("n") > FEW) & (F.col("id") != F.col("lo"))).groupBy(F.col("lo").alias("u"), F.col("id").alias("v")).agg(F.count("*").alias("n"))
+    return pairs, _sized(stars, found).select("u", "v", "n")
+
+
+def links(docs: DataFrame, found: DataFrame, copies: DataFrame) -> DataFrame:
+    """Edges u, v that give the components of docs (id, text), whose set sizes found has: copies (u of equal set as the
+    smallest v), and such links, each exact, that no other link changes a component."""
+    edges, short, seed = copies, None, 0
+    bucket = Window.partitionBy("sig").orderBy("id")
+    whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     while True:
-        shared = signed(docs, seed).withColumn("lo", F.min("id").over(by_sig)).withColumn("hi", F.max("id").over(by_sig))
-        shared = stored(shared.where((F.col("lo") < F.col("hi")) | (F.col("sig") == SHORT)).select("sig", "id", "lo"))
-        groups = shared.where(F.col("sig") != SHORT).distinct()
-        stars = linked(docs, groups.where("id <> lo").select(F.col("lo").alias("u"), F.col("id").alias("v")).distinct())
-        known = stars if out is None else out.unionByName(stars)
-        roots = components(known)
-        rows = groups.join(roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("sig", "id", F.coalesce("root", "id").alias("root"))
-        rows = stored(_mixed(rows, ["sig"]))
-        proposed = _across(rows.where(F.col("n") <= FEW), ["sig"]).unionByName(_sharing_rare(docs, rows.where(F.col("n") > FEW).select("id", "root")))
-        out = known.unionByName(linked(docs, proposed.distinct()))
+        shared = signed(docs, seed).withColumn("lo", F.min("id").over(whole)).withColumn("n", F.count("*").over(whole))
+        shared = shared.where((F.col("n") > 1) | (F.col("sig") == SHORT)).withColumn("next", F.when(F.col("n") <= FEW, F.collect_list("id").over(bucket.rowsBetween(1, FEW - 1))))
+        shared = stored(shared)
         here = shared.where(F.col("sig") == SHORT).select("id")
+        certain = not here.take(1)
+        groups = shared.where(F.col("sig") != SHORT)
+        pairs, stars = proposals(groups, found, certain)
+        pairs = pairs.unionByName(stars)
+        # Of equal sets one is compared. A set is compared with its likeliest partner first, then with others outside its component.
+        pairs = _rooted(_rooted(pairs, "u", copies, "a"), "v", copies, "b").where("a <> b")
+        pairs = pairs.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.max("n").alias("n"))
+        pairs = cut(_apart(pairs, components(edges)) if seed else pairs)
+        edges = edges.unionByName(linked(docs, pairs.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u"))))
+        edges = edges.unionByName(linked(docs, _apart(pairs, components(edges)).select("u", "v")))
+        # What is left: large signatures of several components.
+        rows = _rooted(groups.where(F.col("n") > FEW).select("sig", "id"), "id", components(edges), "root")
+        mixed = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+        rows = rows.join(_small(mixed.where("lo <> hi").select("sig")), "sig").select("id", "root")
+        edges = edges.unionByName(linked(docs, _sized(_sharing_rare(docs, rows), found).select("u", "v")))
         short = here if short is None else short.join(here, "id", "left_semi")
-        if not short.take(1):
-            return out
+        if certain or not short.take(1):
+            return edges
         seed += 1
 
 
@@ -248,7 +316,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     found = cut(sizes(docs))
     named = found.where("id IS NOT NULL AND n_shingles > 0")
     copies = named.groupBy("n_shingles", "k1", "k2").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = named.join(copies, ["n_shingles", "k1", "k2"]).where("id <> v").select(F.col("id").alias("u"), "v")
-    roots = components(links(docs).unionByName(copies))
+    copies = cut(named.join(copies, ["n_shingles", "k1", "k2"]).where("id <> v").groupBy(F.col("id").alias("u")).agg(F.min("v").alias("v")))
+    roots = components(links(docs, named, copies))
     out = found.join(roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left")
     return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("root", "id").alias("component_id"))
