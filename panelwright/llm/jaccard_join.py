@@ -29,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import cut, stored
@@ -176,7 +176,8 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 
 def signed(docs: DataFrame, seed: int) -> DataFrame:
-    """sig, id: every set's signatures; copies within a task emit once. Sets that are short also have SHORT."""
+    """sig, id, m (the set's size): every set's signatures; copies within a task emit once. Sets that are short also have
+    SHORT."""
 
     def make(sets, columns, seen):
         out = []
@@ -190,10 +191,10 @@ def signed(docs: DataFrame, seed: int) -> DataFrame:
             seen[key] = True
             sigs, short = signatures(s, seed)
             out.append(np.append(sigs, np.array([SHORT], np.int64).view(np.uint64)) if short else sigs)
-        return pa.RecordBatch.from_arrays([*columns, _lists(out)], ["id", "sigs"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array([len(s) for s in sets], pa.int64()), _lists(out)], ["id", "m", "sigs"])
 
-    rows = _per_text(docs.where(F.col("id").isNotNull()).select("id", "text"), make, "id long, sigs array<long>")
-    return rows.select(F.explode("sigs").alias("sig"), "id")
+    rows = _per_text(docs.where(F.col("id").isNotNull()).select("id", "text"), make, "id long, m long, sigs array<long>")
+    return rows.select(F.explode("sigs").alias("sig"), "id", "m")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -214,19 +215,10 @@ def _small(df: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the distinct pairs (u, v) whose sets are alike enough, compared whole."""
     pairs = cut(pairs)
-    of_v = pairs.groupBy(F.col("v").alias("id")).agg(F.collect_list("u").alias("us"))
-    left = sets_of(docs, of_v).select(F.col("id").alias("v"), F.explode("us").alias("u"), F.col("shingles").alias("a"))
-    right = sets_of(docs, pairs.select(F.col("u").alias("id")).distinct()).select(F.col("id").alias("u"), F.col("shingles").alias("b"))
+    sets = lambda end, name: sets_of(docs, pairs.select(F.col(end).alias("id")).distinct()).select(F.col("id").alias(end), F.col("shingles").alias(name))
     both = F.size(F.array_intersect("a", "b"))
     alike = DEN * both >= NUM * (F.size("a") + F.size("b") - both)
-    return cut(left.join(right, "u").where(alike).select("u", "v").distinct())
-
-
-def _across(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs u < v of rows (id, root and keys) of different roots that agree in the keys."""
-    a = rows.select(*keys, F.col("id").alias("u"), F.col("root").alias("ru"))
-    b = rows.select(*keys, F.col("id").alias("v"), F.col("root").alias("rv"))
-    return a.join(b, keys).where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv"))).select("u", "v").distinct()
+    return cut(pairs.join(sets("v", "a"), "v").join(sets("u", "b"), "u").where(alike).select("u", "v").distinct())
 
 
 def _sharing_rare(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -234,9 +226,19 @@ def _sharing_rare(docs: DataFrame, rows: DataFrame) -> DataFrame:
     elements = cut(sets_of(docs, rows.distinct()).select("id", "root", F.size("shingles").alias("m"), F.explode("shingles").alias("shingle")))
     often = elements.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle"))
-    # With o of m shingles shared, o >= 4m/5, one of the m - ceil(4m/5) + 1 first in a common order is.
-    rarest = elements.join(often, "shingle").withColumn("place", place).where(F.col("place") <= F.col("m") - F.ceil(F.col("m") * NUM / DEN) + 1)
-    return _across(rarest.where("lo <> hi").select("shingle", "id", "root"), ["shingle"])
+    rarest = elements.join(often, "shingle").withColumn("i", place).where((F.col("i") <= F.col("m") - _overlap(F.col("m"), F.ceil(F.col("m") * NUM / DEN)) + 1) & (F.col("lo") != F.col("hi")))
+    a = rarest.select("shingle", F.col("id").alias("u"), F.col("root").alias("ru"), F.col("m").alias("mu"), F.col("i").alias("iu"))
+    b = rarest.select("shingle", F.col("id").alias("v"), F.col("root").alias("rv"), F.col("m").alias("mv"), F.col("i").alias("iv"))
+    # The first shingle that a linked pair shares in the common order leaves room for the rest of their overlap in both.
+    shared = _overlap(F.col("mu"), F.col("mv"))
+    room = (F.col("mu") - F.col("iu") + 1 >= shared) & (F.col("mv") - F.col("iv") + 1 >= shared)
+    near = (DEN * F.col("mu") >= NUM * F.col("mv")) & (DEN * F.col("mv") >= NUM * F.col("mu"))
+    return a.join(b, "shingle").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & near & room).select("u", "v").distinct()
+
+
+def _overlap(a: Column, b: Column) -> Column:
+    """Least intersection of linked sets of sizes a and b."""
+    return F.ceil((a + b) * NUM / (NUM + DEN))
 
 
 def _rooted(df: DataFrame, column: str, roots: DataFrame, name: str) -> DataFrame:
@@ -270,10 +272,13 @@ def proposals(shared: DataFrame, found: DataFrame, certain: bool) -> tuple[DataF
     With no set short, a linked pair shares at least k + 1 - (a + b) / 9 signatures, k being the smaller set's; those with fewer
     in small signatures can only be linked if they meet in a large one, which the other pairs see to.
     """
-    pairs = shared.where(F.col("n") <= FEW).select(F.col("id").alias("u"), F.explode("next").alias("v")).where("u <> v").groupBy("u", "v").agg(F.count("*").alias("n"))
-    least = F.least("au", "av")
-    need = F.floor((least + F.floor(least * DEN / NUM)) / 9) + 1 - F.floor((F.col("bu") + F.col("bv")) / 9) if certain else F.lit(1)
-    pairs = _sized(pairs, found).where(F.col("n") >= need).select("u", "v", "n")
+    partner = F.explode("next").alias("p")
+    pairs = shared.where(F.col("n") <= FEW).select(F.col("id").alias("u"), F.col("m").alias("a"), partner).where(F.col("u") != F.col("p.id"))
+    pairs = pairs.groupBy("u", "a", F.col("p.id").alias("v"), F.col("p.m").alias("b")).agg(F.count("*").alias("n"))
+    least = F.least("a", "b")
+    need = F.floor((least + F.floor(least * DEN / NUM)) / 9) + 1 - F.floor((F.col("a") + F.col("b")) / 9) if certain else F.lit(1)
+    near = (DEN * F.col("a") >= NUM * F.col("b")) & (DEN * F.col("b") >= NUM * F.col("a"))
+    pairs = pairs.where(near & (F.col("n") >= need)).groupBy("u", "v").agg(F.max("n").alias("n"))
     stars = shared.where((F.col("n") > FEW) & (F.col("id") != F.col("lo"))).groupBy(F.col("lo").alias("u"), F.col("id").alias("v")).agg(F.count("*").alias("n"))
     return pairs, _sized(stars, found).select("u", "v", "n")
 
@@ -286,7 +291,7 @@ def links(docs: DataFrame, found: DataFrame, copies: DataFrame) -> DataFrame:
     whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     while True:
         shared = signed(docs, seed).withColumn("lo", F.min("id").over(whole)).withColumn("n", F.count("*").over(whole))
-        shared = shared.where((F.col("n") > 1) | (F.col("sig") == SHORT)).withColumn("next", F.when(F.col("n") <= FEW, F.collect_list("id").over(bucket.rowsBetween(1, FEW - 1))))
+        shared = shared.where((F.col("n") > 1) | (F.col("sig") == SHORT)).withColumn("next", F.when(F.col("n") <= FEW, F.collect_list(F.struct("id", "m")).over(bucket.rowsBetween(1, FEW - 1))))
         shared = stored(shared)
         here = shared.where(F.col("sig") == SHORT).select("id")
         certain = not here.take(1)
@@ -303,7 +308,7 @@ def links(docs: DataFrame, found: DataFrame, copies: DataFrame) -> DataFrame:
         rows = _rooted(groups.where(F.col("n") > FEW).select("sig", "id"), "id", components(edges), "root")
         mixed = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
         rows = rows.join(_small(mixed.where("lo <> hi").select("sig")), "sig").select("id", "root")
-        edges = edges.unionByName(linked(docs, _sized(_sharing_rare(docs, rows), found).select("u", "v")))
+        edges = edges.unionByName(linked(docs, _sharing_rare(docs, rows)))
         short = here if short is None else short.join(here, "id", "left_semi")
         if certain or not short.take(1):
             return edges
