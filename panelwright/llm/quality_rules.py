@@ -30,7 +30,9 @@ WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEATED = 20
 
-MAX_LABELLED = 20_000
+MAX_LABELLED = 8_000
+#: Partitions of the labelled rows, which are bounded.
+PARTS = 6
 #: Measures that rules may test.
 FEATURES = ("n_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "line_words")
 
@@ -113,12 +115,31 @@ def holds(rule: Rule) -> Column:
 
 
 def _counts(rows: DataFrame, conditions: list[Column]) -> list[tuple[int, int]]:
-    """Bad and good rows that each condition covers, in one aggregation."""
-    sums = [F.count_if(c & (F.col("bad") == b)).alias(f"c{i}_{b}") for i, c in enumerate(conditions) for b in (1, 0)]
-    row = rows.agg(*sums).first()
+    """Bad and good rows that each of a few conditions covers, in one aggregation."""
+    sums = [F.count_if(c & (F.col("bad") == b)) for c in conditions for b in (1, 0)]
+    row = rows.agg(*[s.alias(f"c{i}") for i, s in enumerate(sums)]).first()
     return [(row[2 * i], row[2 * i + 1]) for i in range(len(conditions))]
 
 
+def _candidate_counts(rows: DataFrame, thresholds: dict[str, list[float]]) -> dict[Test, tuple[int, int]]:
+    """Bad and good rows that each candidate covers: one count by feature and bin, summed up over the bins.
+
+    rows has the features' bins, ``bin_`` and the feature's name: the number of its thresholds below the value.
+    """
+    stacked = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"bin_{f}").alias("bin")) for f in thresholds]))
+    found = rows.select("bad", stacked.alias("s")).groupBy("s.f", "s.bin").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).collect()
+    out = {}
+    for f, values in thresholds.items():
+        bins = {r["bin"]: (r["bad"], r["n"] - r["bad"]) for r in found if r["f"] == f}
+        total = tuple(sum(x[k] for x in bins.values()) for k in (0, 1))
+        below = [0, 0]
+        for i, value in enumerate(values):
+            below = [below[k] + bins.get(i, (0, 0))[k] for k in (0, 1)]
+            out[Test(f, False, value)] = (below[0], below[1])
+            out[Test(f, True, value)] = (total[0] - below[0], total[1] - below[1])
+    return out
+
+
 def _gain(bad: int, good: int, before: tuple[int, int]) -> float:
     """Information gain of covering bad and good of the rows covered before."""
     if not bad:
@@ -133,33 +154,35 @@ def _thresholds(values: list[float]) -> list[float]:
     return sorted({*values, *((a + b) / 2 for a, b in zip(values, values[1:], strict=False))})
 
 
-def learn(rows: DataFrame, features: tuple[str, ...] = FEATURES, n_thresholds: int = 24, max_rules: int = 8, max_tests: int = 3, least_cover: int = 5, precision: float = 0.9) -> list[Rule]:
+def learn(rows: DataFrame, features: tuple[str, ...] = FEATURES, n_thresholds: int = 16, max_rules: int = 8, max_tests: int = 3, least_cover: int = 5, precision: float = 0.9) -> list[Rule]:
     """An ordered list of rules for bad rows, from rows with the features and bad (0 or 1).
 
     A third of the rows (column ``prune``, true there) is held back: a rule keeps only as many of its first tests as do
     best there, and the list ends when a rule's share of bad rows there is below precision.
     """
-    rows = cut(rows.select(*features, "bad", "prune"))
+    rows = cut(rows.select(*features, "bad", "prune").repartition(PARTS))
     at = [i / n_thresholds for i in range(n_thresholds + 1)]
-    cuts = rows.agg(*[F.percentile_approx(F.when(F.col("bad") == b, F.col(f)), at, 10_000).alias(f"{f}_{b}") for f in features for b in (0, 1)]).first()
-    candidates = [Test(f, above, v) for f in features for above in (True, False) for v in _thresholds([*(cuts[f"{f}_0"] or []), *(cuts[f"{f}_1"] or [])])]
+    cuts = rows.groupBy("bad").agg(*[F.percentile_approx(f, at, 10_000).alias(f) for f in features]).collect()
+    thresholds = {f: _thresholds([v for row in cuts for v in row[f] or []]) for f in features}
+    below = lambda f: lambda t: t < F.col(f)
+    bins = {f"bin_{f}": F.size(F.filter(F.array(*map(F.lit, v)), below(f))) if v else F.lit(0) for f, v in thresholds.items()}
+    rows = cut(rows.withColumns(bins))
     grow, prune = rows.where(~F.col("prune")), rows.where(F.col("prune"))
     rules: list[Rule] = []
     left = F.lit(True)
-    while len(rules) < max_rules and candidates:
+    while len(rules) < max_rules:
         rule: Rule = ()
         covered = _counts(grow.where(left), [F.lit(True)])[0]
         while len(rule) < max_tests and covered[0] and covered[1]:
-            counts = _counts(grow.where(left & holds(rule)), [t.column() for t in candidates])
-            gains = [_gain(b, g, covered) if b >= least_cover else 0.0 for b, g in counts]
-            most = max(gains)
+            counts = _candidate_counts(grow.where(left & holds(rule)), thresholds)
+            gains = {t: _gain(b, g, covered) if b >= least_cover else 0.0 for t, (b, g) in counts.items()}
+            most = max(gains.values(), default=0.0)
             if most <= 1e-9:
                 break
-            equal = [i for i, g in enumerate(gains) if g == most]
-            first = candidates[equal[0]]
-            equal = [i for i in equal if (candidates[i].feature, candidates[i].above) == (first.feature, first.above)]
+            equal = [t for t, g in gains.items() if g == most]
+            equal = sorted((t for t in equal if (t.feature, t.above) == (equal[0].feature, equal[0].above)), key=lambda t: t.value)
             best = equal[len(equal) // 2]
-            rule, covered = (*rule, candidates[best]), counts[best]
+            rule, covered = (*rule, best), counts[best]
         if not rule:
             break
         prefixes = [rule[: i + 1] for i in range(len(rule))]
@@ -187,7 +210,9 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, limit: int = MAX_LAB
     chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
     share = min(1.0, limit / max(1, known.count()))
     chosen = known.where(chance < int(share * (1 << 30))).select("doc_id", (F.col("quality") == 0).cast("int").alias("bad"), (chance % 3 == 0).alias("prune"))
-    return statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).where(~F.col("base_failed"))
+    measured = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    # Written before it is filtered: the filter reads only the text and would move below the join, to all documents.
+    return cut(measured.select(*FEATURES, "bad", "prune", "base_failed")).where(~F.col("base_failed"))
 
 
 def judge(df: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
