@@ -25,10 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelwright.llm.common import cut
+
 UNDETERMINED = "und"
 DIMENSIONS = 1024
 #: Trigram vectors that a worker keeps before it starts afresh; 1 kB each.
 CACHED = 30_000
+#: Languages up to which their shares, about 32 bytes each, are broadcast; beyond, Spark joins as it sees fit.
+BROADCAST_LANGUAGES = 10_000
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -81,7 +85,8 @@ class Encoder:
 
 def sample(labelled: DataFrame, per_language: int, seed: int = 6) -> DataFrame:
     """About per_language rows of each language (doc_id, text, lang), those whose hash is lowest."""
-    share = labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share"))
+    share = cut(labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share")))
+    share = F.broadcast(share) if share.count() <= BROADCAST_LANGUAGES else share
     chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return labelled.join(share, "lang").where(chance < F.col("share")).select("lang", "text")
 
