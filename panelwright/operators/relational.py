@@ -1,4 +1,4 @@
-"""Joins and set operations with the reference semantics spelled out."""
+"""Joins and set operations with their treatment of nulls, ties and repeats spelled out."""
 
 from __future__ import annotations
 
