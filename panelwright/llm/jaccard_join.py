@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import cut, stored
-from panelwright.llm.components import components
+from panelwright.llm.components import extended
 
 WORDS = 5
 #: Links need NUM / DEN of the union in the intersection.
@@ -284,9 +284,9 @@ def proposals(shared: DataFrame, found: DataFrame, certain: bool) -> tuple[DataF
 
 
 def links(docs: DataFrame, found: DataFrame, copies: DataFrame) -> DataFrame:
-    """Edges u, v that give the components of docs (id, text), whose set sizes found has: copies (u of equal set as the
-    smallest v), and such links, each exact, that no other link changes a component."""
-    edges, short, seed = copies, None, 0
+    """The components of docs (id, text), whose set sizes found has, as u with the smallest v: from copies (u of equal set
+    as the smallest v), and such links, each exact, that no other link changes a component."""
+    roots, short, seed = copies, None, 0
     bucket = Window.partitionBy("sig").orderBy("id")
     whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     while True:
@@ -301,17 +301,17 @@ def links(docs: DataFrame, found: DataFrame, copies: DataFrame) -> DataFrame:
         # Of equal sets one is compared. A set is compared with its likeliest partner first, then with others outside its component.
         pairs = _rooted(_rooted(pairs, "u", copies, "a"), "v", copies, "b").where("a <> b")
         pairs = pairs.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.max("n").alias("n"))
-        pairs = cut(_apart(pairs, components(edges)) if seed else pairs)
-        edges = edges.unionByName(linked(docs, pairs.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u"))))
-        edges = edges.unionByName(linked(docs, _apart(pairs, components(edges)).select("u", "v")))
+        pairs = cut(_apart(pairs, roots) if seed else pairs)
+        roots = extended(roots, linked(docs, pairs.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u"))))
+        roots = extended(roots, linked(docs, _apart(pairs, roots).select("u", "v")))
         # What is left: large signatures of several components.
-        rows = _rooted(groups.where(F.col("n") > FEW).select("sig", "id"), "id", components(edges), "root")
+        rows = _rooted(groups.where(F.col("n") > FEW).select("sig", "id"), "id", roots, "root")
         mixed = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
         rows = rows.join(_small(mixed.where("lo <> hi").select("sig")), "sig").select("id", "root")
-        edges = edges.unionByName(linked(docs, _sharing_rare(docs, rows)))
+        roots = extended(roots, linked(docs, _sharing_rare(docs, rows)))
         short = here if short is None else short.join(here, "id", "left_semi")
         if certain or not short.take(1):
-            return edges
+            return roots
         seed += 1
 
 
@@ -322,6 +322,6 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     named = found.where("id IS NOT NULL AND n_shingles > 0")
     copies = named.groupBy("n_shingles", "k1", "k2").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = cut(named.join(copies, ["n_shingles", "k1", "k2"]).where("id <> v").groupBy(F.col("id").alias("u")).agg(F.min("v").alias("v")))
-    roots = components(links(docs, named, copies))
+    roots = links(docs, named, copies)
     out = found.join(roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left")
     return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("root", "id").alias("component_id"))
