@@ -216,6 +216,11 @@ def er_resolve(spark, sf_dir):
 
 @query("er_graph_components")
 def er_graph_components(spark, sf_dir):
-    """Components of customers linked by a common supplier order, over link tables with long chains."""
-    links = read(spark, sf_dir, "orders").select((F.col("o_orderkey") % 701).alias("u"), (F.col("o_orderkey") % 997).alias("v"))
-    return entity.components(links.where("u <> v AND u < 40"))
+    """Components of customers (even nodes) and suppliers (odd) linked by the customers' orders of the suppliers' items."""
+    customers = read(spark, sf_dir, "customer").select((2 * F.col("c_custkey")).alias("u"))
+    suppliers = read(spark, sf_dir, "supplier").select((2 * F.col("s_suppkey") + 1).alias("u"))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", (2 * F.col("o_custkey")).alias("u"))
+    items = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (2 * F.col("l_suppkey") + 1).alias("v"))
+    links = orders.join(items, "o_orderkey").select("u", "v").distinct()
+    # A link to itself keeps a node that has no other.
+    return entity.components(links.unionByName(customers.unionByName(suppliers).withColumn("v", F.col("u"))))
