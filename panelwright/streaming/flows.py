@@ -28,6 +28,21 @@ def arrivals(spark: SparkSession, folder: str, schema, glob: str = "*.parquet",
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files).parquet(folder)
 
 
+def table_arrivals(spark: SparkSession, path: str, schema, files: int = 1000) -> DataFrame:
+    """The files of a table, which is a folder of part files or a single file."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return arrivals(spark, path, schema, files=files)
+    folder, name = path.rsplit("/", 1)
+    return arrivals(spark, folder, schema, name, files)
+
+
+def span(df: DataFrame, ts: str) -> str:
+    """A watermark's delay that covers all of df, so that no row is late in whatever order its files arrive."""
+    first, last = df.agg(F.min(ts).cast("timestamp").cast("long"), F.max(ts).cast("timestamp").cast("long")).first()
+    return f"{(last or 0) - (first or 0) + 1} seconds"
+
+
 def run_available(stream: DataFrame, folder: str, mode: str, each=None) -> str:
     """Process what is there and stop; rows go to folder/rows by batch. each changes a batch before it is written."""
 
