@@ -18,6 +18,21 @@ def fold(df: DataFrame, cutoff: int, period: str, target: str) -> tuple[DataFram
     return df.where(F.col(target) <= cutoff), df.where(F.col(period) == cutoff)
 
 
+def windows(coverage: dict[int, float], rows: dict[int, int], horizon: int, reliable: float = 0.8, least: int = 100, n_val: int = 6, n_test: int = 1) -> tuple[list[int], list[int]]:
+    """Validation and test cutoffs from the share of known values and the labelled rows of each period.
+
+    A cutoff is usable with least rows, and if it and its target are reliable. The newest are for the test; validation has
+    the newest of the rest within one run of reliable periods.
+    """
+    known = {q for q, share in coverage.items() if share >= reliable}
+    usable = sorted(q for q, n in rows.items() if n >= least and q in known and q + horizon in known)
+    test, rest = usable[-n_test:], usable[:-n_test]
+    start = rest[-1] if rest else 0
+    while start - 1 in known:
+        start -= 1
+    return [q for q in rest if q >= start][-n_val:], test
+
+
 def _features(numeric: list[str], categorical: list[str]) -> list:
     return [
         *[StringIndexer(inputCol=c, outputCol=f"{c}_ix", handleInvalid="keep") for c in categorical],

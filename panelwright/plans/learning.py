@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.operators import aggregates as A
 from panelwright.operators import models as M
 from panelwright.operators import windows
-from panelwright.plans.panel import labels, panel
+from panelwright.plans.panel import labels, panel, survival_rows
 from panelwright.plans.registry import query
 from panelwright.sources.tables import read
 
@@ -27,11 +30,23 @@ def _cutoffs(df, n):
     return sorted(r["q"] for r in df.select("q").distinct().orderBy(F.desc("q")).limit(n).collect())
 
 
+#: Labelled rows of a usable cutoff, earlier folds that a calibration is fitted on, quarters a hazard looks ahead.
+MIN_ROWS, POOL_FOLDS, AHEAD = 100, 4, 6
+
+
+def _windows(spark, sf_dir, df):
+    """Validation and test cutoffs; small tables need half of their usual rows a quarter."""
+    share = F.avg(F.col("x").isNotNull().cast("double"))
+    coverage = {r["q"]: r["share"] for r in panel(spark, sf_dir).groupBy("q").agg(share.alias("share")).collect()}
+    counts = {r["q"]: r["count"] for r in df.groupBy("q").count().collect()}
+    return M.windows(coverage, counts, 1, least=min(MIN_ROWS, sum(counts.values()) // max(1, 2 * len(counts))))
+
+
 @query("ml_rolling_origin")
 def ml_rolling_origin(spark, sf_dir):
-    """Average precision by model and cutoff, each trained on what was known then."""
+    """Average precision by model and cutoff, each trained on what was known then: the validation and the test cutoffs."""
     df, out = rows(spark, sf_dir), None
-    for cutoff in _cutoffs(df, 2):
+    for cutoff in sum(_windows(spark, sf_dir, df), []):
         train, test = M.fold(df, cutoff, "q", "target_q")
         scored = {
             "naive": M.naive(train, test, "y_rise", "segment"),
@@ -46,12 +61,12 @@ def ml_rolling_origin(spark, sf_dir):
 
 @query("ml_calibrated")
 def ml_calibrated(spark, sf_dir):
-    """Calibration error before and after Platt and isotonic calibration on an earlier fold."""
+    """Calibration error before and after Platt and isotonic calibration on the newest folds whose outcomes are known, each
+    scored by the model of its own cutoff."""
     df = rows(spark, sf_dir)
-    earlier, now = _cutoffs(df, 2)
-    train, pool = M.fold(df, earlier, "q", "target_q")
-    pool = M.logistic(train, pool, "y_rise", NUMERIC, ["segment"])
-    test = M.logistic(train, M.fold(df, now, "q", "target_q")[1], "y_rise", NUMERIC, ["segment"])
+    now = _windows(spark, sf_dir, df)[1][0]
+    scored = lambda cutoff: M.logistic(*M.fold(df, cutoff, "q", "target_q"), "y_rise", NUMERIC, ["segment"])
+    test, pool = scored(now), reduce(DataFrame.unionByName, [scored(now - i) for i in range(1, POOL_FOLDS + 1)])
     versions = {"raw": test.withColumn("p_cal", F.col("p")), "platt": M.platt_calibrated(test, pool, "p", "y_rise"), "isotonic": M.isotonic_calibrated(test, pool, "p", "y_rise")}
     parts = [A.expected_calibration_error(A.calibration_bins(v, "p_cal", "y_rise")).select(F.lit(n).alias("version"), "ece") for n, v in versions.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -71,14 +86,12 @@ def ml_intervals(spark, sf_dir):
 
 @query("ml_hazard")
 def ml_hazard(spark, sf_dir):
-    """Chance of a finish within 1 to 4 quarters from a discrete hazard model on the risk set."""
-    from panelwright.plans.panel import panel_survival_rows
-
-    risk = panel_survival_rows(spark, sf_dir).withColumn("step_d", F.col("step").cast("double"))
+    """Chance of a finish within 1 to 6 quarters from a discrete hazard model on the risk set."""
+    risk = survival_rows(spark, sf_dir, AHEAD).withColumn("step_d", F.col("step").cast("double"))
     value = panel(spark, sf_dir).select("k", "q", "x")
     train = risk.join(value, ["k", "q"]).persist()
     last = value.groupBy("k").agg(F.max_by("x", "q").alias("x"), F.max("q").alias("q"))
-    ahead = last.select("k", "q", "x", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("step")).withColumn("step_d", F.col("step").cast("double"))
+    ahead = last.select("k", "q", "x", F.explode(F.sequence(F.lit(1), F.lit(AHEAD))).alias("step")).withColumn("step_d", F.col("step").cast("double"))
     hazard = M.logistic(train, ahead, "y", ["x", "step_d"], [])
     return hazard.select("k", "step", windows.survival(F.col("p"), ["k"], "step").alias("p_by"))
 

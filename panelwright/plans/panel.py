@@ -216,9 +216,13 @@ def panel_features(spark, sf_dir):
     SELECT k, q, CAST(step AS INTEGER) AS step, CAST(done AS INTEGER) AS y FROM c WHERE seen AND NOT over""",
 )
 def panel_survival_rows(spark, sf_dir):
+    return survival_rows(spark, sf_dir, 4)
+
+
+def survival_rows(spark, sf_dir, ahead: int) -> DataFrame:
     """Risk set: a row for each step ahead until the event or the first unobserved quarter."""
     rows = panel(spark, sf_dir)
-    steps = rows.where(~F.col("done")).select("k", "q", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("step"))
+    steps = rows.where(~F.col("done")).select("k", "q", F.explode(F.sequence(F.lit(1), F.lit(ahead))).alias("step"))
     later = rows.select("k", F.col("q").alias("at"), F.col("done"))
     seen = steps.withColumn("at", F.col("q") + F.col("step")).join(later, ["k", "at"], "left")
     w = windows.ordered(["k", "q"], "step")
