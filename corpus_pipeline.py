@@ -36,7 +36,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with their secrets replaced by a mark, and their new lengths."""
-    models = secret_scan.train(secret_scan.default_samples(docs.select("doc_id", "text")))
+    models = secret_scan.train(secret_scan.default_samples(docs.select("doc_id", "text", "source", "lang")))
     return docs.withColumn("text", secret_scan.clean(F.col("text"), models)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -30,25 +30,28 @@ from pyspark.sql import types as T
 
 #: Buckets of word shapes, sources and languages.
 SHAPES, SOURCES, LANGUAGES = 192, 48, 16
-CACHED = 300_000
+#: Words kept with their buckets, and the longest of them.
+CACHED, CACHED_CHARS = 300_000, 64
 ROWS = 1000
 
 
 def shape(word: str) -> str:
     """The word's kinds of characters, repeats dropped: 'Them,%%' is 'Aa,%'."""
     out = []
-    for c in word[:64]:
+    for c in word:
         kind = ("A" if c.isupper() else "a") if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != kind:
             out.append(kind)
-    return "".join(out[:8])
+    return "".join(out)
 
 
 class ShapeBuckets(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > CACHED:
-            self.clear()
-        value = self[word] = zlib.crc32(shape(word).encode()) % SHAPES
+        value = zlib.crc32(shape(word).encode("utf-8", "surrogatepass")) % SHAPES
+        if len(word) <= CACHED_CHARS:
+            if len(self) > CACHED:
+                self.clear()
+            self[word] = value
         return value
 
 

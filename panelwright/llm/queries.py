@@ -56,7 +56,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every text: the patterns' and the Markov models'. Null is as empty."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     models = secret_scan.train(secret_scan.default_samples(docs))
     found = docs.select("doc_id", secret_scan.scan(F.col("text"), models).alias("found"))
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")

@@ -36,6 +36,8 @@ PATTERNS = (
 KINDS = tuple(p[0] for p in PATTERNS) + ("markov",)
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = "[A-Za-z0-9+/_=-]"
+#: Sources and languages up to which they are broadcast.
+BROADCAST_ROWS = 100_000
 #: A pattern matches only where one of these stands in the text, its A-Z lowered if the first is true.
 NEEDS = {"assign": (True, (b"passw", b"secret", b"token", b"apikey", b"api_key")), "access": (False, (b"AKIA",)), "hex": (False, ())}
 
@@ -85,15 +87,21 @@ def train(samples: DataFrame, **limits) -> MarkovPair:
     return MarkovPair(counts, **limits)
 
 
-def default_samples(docs: DataFrame, n_docs: int = 100, n_random: int = 4000, seed: int = 17) -> DataFrame:
+def default_samples(docs: DataFrame, n_docs: int = 500, n_random: int = 4000, seed: int = 17) -> DataFrame:
     """Labelled samples: digests in hexadecimal and base 64, and identifiers made of a bounded sample's words.
 
-    About n_docs documents, those whose hash is lowest, give the ordinary words (2 to 19 key
-    characters); neighbours joined in snake, kebab, path and camel case give compound identifiers.
+    About n_docs documents give the ordinary words (2 to 19 key characters): of each source and language its share, one at least,
+    those whose hash is lowest; neighbours joined in snake, kebab, path and camel case give compound identifiers.
     """
     spark = docs.sparkSession
     total = max(1, docs.count())
-    near = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, n_docs / total)))
+    kinds = [F.col(c) for c in ("source", "lang") if c in docs.columns]
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000))
+    below = chance < math.ceil(1e6 * min(1.0, n_docs / total))
+    # The lowest hash of a kind keeps one of its documents where none is below the share.
+    least = docs.groupBy(F.struct(*kinds).alias("_kind") if kinds else F.lit(0).alias("_kind")).agg(F.min(chance).alias("_least"))
+    drawn = docs.withColumn("_kind", F.struct(*kinds) if kinds else F.lit(0))
+    near = drawn.join(F.broadcast(least) if least.count() <= BROADCAST_ROWS else least, drawn["_kind"].eqNullSafe(least["_kind"]), "left").where(below | (chance == F.col("_least")))
     words = F.filter(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"{RUN}+"), F.lit(0)), lambda w: F.length(w).between(2, 19))
     triples = let(words, lambda w: F.when(F.size(w) > 2, F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.slice(w, i, 3))))
     triples = near.select(F.explode(triples).alias("w"))
