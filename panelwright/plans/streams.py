@@ -20,7 +20,7 @@ def _late(spark, sf_dir):
 @query("stream_tumbling", "SELECT event_type, date_trunc('day', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, sf_dir):
     stream = flows.tumbling(_events(spark, sf_dir), "ts", "1 day", ["event_type"], _late(spark, sf_dir), [F.count("*").alias("n"), F.sum("value").alias("total")])
-    rows = flows.latest(spark, flows.run_available(stream, flows.shared_folder(spark), "update"), ["start", "event_type"])
+    rows = flows.latest(spark, flows.run_available(stream, flows.flow_folder(spark), "update"), ["start", "event_type"])
     return rows.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
 
 
@@ -32,7 +32,7 @@ def stream_sliding(spark, sf_dir):
     """Two-day windows, every day, in which a user had at least three errors."""
     errors = _events(spark, sf_dir).where("event_type = 'error'")
     stream = flows.sliding(errors, "ts", "2 days", "1 day", ["user_id"], _late(spark, sf_dir), [F.count("*").alias("n")])
-    rows = flows.latest(spark, flows.run_available(stream, flows.shared_folder(spark), "update"), ["start", "user_id"])
+    rows = flows.latest(spark, flows.run_available(stream, flows.flow_folder(spark), "update"), ["start", "user_id"])
     return rows.where("n >= 3").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
@@ -43,14 +43,14 @@ def stream_sliding(spark, sf_dir):
 )
 def stream_sessions(spark, sf_dir):
     stream = flows.sessions(_events(spark, sf_dir), "ts", "12 hours", ["user_id"], _late(spark, sf_dir), [F.count("*").alias("n")])
-    rows = flows.last_batch(spark, flows.run_available(stream, flows.shared_folder(spark), "complete"))
+    rows = flows.last_batch(spark, flows.run_available(stream, flows.flow_folder(spark), "complete"))
     return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("stream_once", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, event_id FROM events) GROUP BY 1, 2")
 def stream_once(spark, sf_dir):
     stream = flows.once(_events(spark, sf_dir), "ts", _late(spark, sf_dir), ["event_id"])
-    rows = spark.read.parquet(flows.run_available(stream, flows.shared_folder(spark), "append"))
+    rows = spark.read.parquet(flows.run_available(stream, flows.flow_folder(spark), "append"))
     return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 

@@ -6,21 +6,18 @@ repeated batch replaces itself; ``latest`` reads the newest row of each key.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.operators.relational import diff
+from panelwright.sources.session import shared_folder
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the session's checkpoint folder, or in a temporary one for a session without."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return f"{sc.getCheckpointDir()}/flow-{uuid.uuid4().hex}"
+def flow_folder(spark: SparkSession) -> str:
+    """A new folder in the folder that all executors share."""
+    return f"{shared_folder(spark)}/flow-{uuid.uuid4().hex}"
 
 
 def arrivals(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", files: int = 1000) -> DataFrame:
