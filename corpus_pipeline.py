@@ -19,12 +19,14 @@ from panelwright.llm.queries import MIX
 
 #: Dropped ids up to which they are broadcast, 8 bytes each; beyond, Spark joins as it sees fit.
 BROADCAST_IDS = 1_000_000
+#: Least chance of being good of the documents that stay.
+KEPT = 0.5
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained views do not reject."""
     model = cotraining.train(docs, table(spark, sf_dir, "labels"))
-    return cotraining.classify(docs, model).where("kept").select(*docs.columns)
+    return docs.where(cotraining.chances(docs, model)["score"] >= KEPT)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

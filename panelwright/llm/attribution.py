@@ -12,22 +12,20 @@ document's sections, and RULES says which section a boundary-crossing token belo
 Sections are given as consecutive sizes, so the interval join is two binary searches in their sorted
 ends, inside the row: no shuffle, and no pair of a token with a section it does not touch.
 
-Null and empty texts have no section and no tokens. A text of one line is one section.
+Null and empty texts have no section and no tokens. A text of one line is one section. Equal rows have equal counts. Columns
+named section_sizes, tokens, whole_text and field_names are replaced.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from panelwright.llm.common import let
+from panelwright.llm.common import let, text_udf
 
 RULES = ("first", "last", "most", "share")
 
@@ -85,27 +83,22 @@ def line_sizes(text: Column) -> Column:
 
 
 def counter(path: str, pattern: str, rule: str = "first"):
-    """A pandas UDF (text, section sizes) -> struct of the token total, crossings and counts."""
+    """A UDF (text, section sizes) -> struct of the token total, crossings and counts."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {', '.join(RULES)}")
 
-    out = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_crossing", T.LongType()), T.StructField("counts", T.ArrayType(T.DoubleType()))])
-
-    @F.pandas_udf(out)
-    def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, sections in batches:
-            rows = []
-            for text, sizes in zip(texts, sections, strict=True):
-                if not text or sizes is None or not len(sizes):
-                    rows.append((0, 0, [0.0] * (0 if sizes is None else len(sizes))))
-                    continue
-                a, b = token_spans(text, path, pattern)
-                e = np.cumsum(np.asarray(sizes, np.int64))
-                crossing = int((np.searchsorted(e, a, "right") != np.searchsorted(e, b - 1, "right")).sum())
-                rows.append((len(a), crossing, attribute(a, b, e, rule)))
-            yield pd.DataFrame(rows, columns=["n_tokens", "n_crossing", "counts"])
-
-    return count
+    def prepare():
+        def count(text: str | None, sizes: list[int] | None) -> dict:
+            if not text or not sizes:
+                return {"n_tokens": 0, "n_crossing": 0, "counts": [0.0] * len(sizes or [])}
+            a, b = token_spans(text, path, pattern)
+            e = np.cumsum(np.asarray(sizes, np.int64))
+            crossing = int((np.searchsorted(e, a, "right") != np.searchsorted(e, b - 1, "right")).sum())
+            return {"n_tokens": len(a), "n_crossing": crossing, "counts": attribute(a, b, e, rule)}
+
+        return lambda texts, sections: [count(*row) for row in zip(texts, sections, strict=True)]
+
+    return text_udf("struct<n_tokens:long,n_crossing:long,counts:array<double>>", prepare)
 
 
 def by_section(df: DataFrame, path: str, pattern: str, rule: str = "first", text: str = "text", sizes: Column | None = None) -> DataFrame:

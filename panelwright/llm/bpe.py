@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from panelwright.llm.common import steps
+from panelwright.sources.session import ship
+
 #: Characters U+0100 to U+01FF stand for the bytes 0 to 255: letters all, none of them white space.
 FIRST_CHAR = 0x100
-#: Pre-tokens whose ids a worker keeps before it starts afresh.
-CACHED = 250_000
-#: Texts whose new pre-tokens are merged together.
-TEXTS = 256
+#: Pre-tokens whose ids a task keeps before it starts afresh, and the longest of them.
+CACHED, CACHED_CHARS = 100_000, 32
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -99,28 +101,32 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, tokens: set[str]) -> None:
-        """Ids of pre-tokens: a piece of the vocabulary is itself, others are merged."""
-        rest = []
+    def _learn(self, tokens: set[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens: a piece of the vocabulary is itself, others are merged. Short ones are kept."""
+        rest, found = [], {}
         for token in tokens:
             ids = self.whole.get(token.encode())
             if ids is None:
                 rest.append(token)
             else:
-                self.known[token] = ids
+                found[token] = ids
         for token, ids in zip(rest, self.model.encode([to_chars(t.encode()) for t in rest], num_threads=1), strict=True):
             if self.unknown in ids:
                 raise ValueError(f"a byte of {token!r} is not in the vocabulary")
-            self.known[token] = struct.pack(f"<{len(ids)}I", *ids)
+            found[token] = struct.pack(f"<{len(ids)}I", *ids)
+        self.known.update((t, ids) for t, ids in found.items() if len(t) <= CACHED_CHARS)
+        return found
 
     def encode(self, texts) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; new pre-tokens are merged in one call."""
         split = [self.split(t or "") for t in texts]
         if len(self.known) > CACHED:
-            self.known = {}
-        if new := set().union(*split).difference(self.known):
-            self._learn(new)
-        return [b"".join(map(self.known.__getitem__, tokens)) for tokens in split]
+            self.known.clear()
+        known = self.known
+        if new := set().union(*split).difference(known):
+            found = self._learn(new)
+            known = known if all(len(t) <= CACHED_CHARS for t in found) else ChainMap(known, found)
+        return [b"".join(map(known.__getitem__, tokens)) for tokens in split]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -135,7 +141,7 @@ def coded(df: DataFrame, path: str, pattern: str, text: str = "text", decode: bo
     """df with ``token_ids`` (array<int>), ``ids_sha256`` of the ids as little-endian unsigned 32-bit integers, and, unless
     decode is false, ``decoded``: the bytes that the ids stand for.
 
-    Columns of these names in df are replaced. Batches go out in steps of TEXTS rows, so a worker holds
+    Columns of these names in df are replaced. Batches go out in small steps, so a worker holds
     the ids of few texts at a time.
     """
     model = serialise_model(read_ranks(path))
@@ -148,9 +154,10 @@ def coded(df: DataFrame, path: str, pattern: str, text: str = "text", decode: bo
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(model, pattern)
+        one.known.clear()
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
+            for at, n in steps(batch.column(text)):
+                part = batch.slice(at, n)
                 packed = one.encode(part.column(text).to_pylist())
                 ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
@@ -158,5 +165,7 @@ def coded(df: DataFrame, path: str, pattern: str, text: str = "text", decode: bo
                 if decode:
                     made.append(pa.array([one.decode(np.frombuffer(x, "<i4").tolist()) for x in packed], pa.binary()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names)
+        one.known.clear()
 
+    ship(df.sparkSession)
     return base.mapInArrow(code, out)

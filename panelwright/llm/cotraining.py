@@ -2,37 +2,41 @@
 
 The content view has the shapes of the text's words (runs of lower and upper case, digits and other characters), how
 often words and lines repeat, and shares of character classes. The metadata view has what is known without reading:
-source, language, length, and the layout in lines. Each view is a logistic regression; over ``rounds`` each
-labels the pool documents it is surest of, in the classes' proportions, and hands them to the other view.
-Both are then calibrated on labelled rows that trained neither, and a document's score, the chance that it
-is good, is the logistic combination of the calibrated views fitted on those rows.
-
-Features are computed on executors. Fitting is on a bounded sample, the parameters ``n_labelled`` and
-``n_pool``: documents with the lowest hashes of their ids, whose features (under 2 kB each) are
-all that the driver collects. Scoring is one pass over all documents without a shuffle.
+source, language, length, and the layout in lines. Each view is a logistic regression. In each of ``rounds`` both views
+are fitted and calibrated and score the whole pool, which is every document outside the labelled sample; each then hands
+the other ``grow`` documents it is sure of, in the classes' proportions. Among the sure ones those with the lowest hash
+are taken, so that they spread over all kinds of documents, and of equal documents only one. At last both are calibrated
+on labelled rows that trained neither, and a document's score, the chance that it is good, is the logistic combination
+of the calibrated views fitted on those rows.
+
+Features are computed on executors and written once. What the driver collects is bounded by parameters: the features
+(about 1 kB each) of ``n_labelled`` labelled documents, those with the lowest hashes of their ids, and of at most 2 x
+``grow`` a round. A round is one pass over the features; all that is shuffled is the hashes of sure documents.
+Scoring is one pass over the texts without a shuffle.
 
 A null or empty text has no words and is scored by its zeros and its metadata; null metadata are values of their
 own. Without labels of both classes the score is that of the only class, 1 without labels. Several labels of a document all
-count. Columns of df other than the four that are read do not matter.
+count. Equal documents have equal scores; a score that equals the threshold keeps. Columns of df other than the four
+that are read do not matter, but those named as classify's results are replaced by them.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from panelwright.llm.common import stored, text_udf
 
 #: Buckets of word shapes, sources and languages.
 SHAPES, SOURCES, LANGUAGES = 192, 48, 16
-#: Words kept with their buckets, and the longest of them.
-CACHED, CACHED_CHARS = 300_000, 64
-ROWS = 1000
+#: Words that a task keeps with their buckets, and the longest of them.
+CACHED, CACHED_CHARS = 100_000, 32
+#: Numbers of the content view's features and the metadata view's.
+CONTENT, METADATA = SHAPES + 6, SOURCES + LANGUAGES + 4
 
 
 def shape(word: str) -> str:
@@ -55,17 +59,14 @@ class ShapeBuckets(dict):
         return value
 
 
-_buckets = ShapeBuckets()
-
-
-def content_features(text: str | None) -> np.ndarray:
-    text = text or ""
+def content_features(text: str | None, buckets: ShapeBuckets | None = None) -> np.ndarray:
+    text, buckets = text or "", ShapeBuckets() if buckets is None else buckets
     words = text.split()
-    out = np.zeros(SHAPES + 6, np.float32)
+    out = np.zeros(CONTENT, np.float32)
     if not words:
         return out
     n = len(words)
-    out[:SHAPES] = np.sqrt(np.bincount(np.fromiter(map(_buckets.__getitem__, words), np.int64, n), minlength=SHAPES) / n)
+    out[:SHAPES] = np.sqrt(np.bincount(np.fromiter(map(buckets.__getitem__, words), np.int64, n), minlength=SHAPES) / n)
     lines = [x for x in text.split("\n") if x]
     out[SHAPES] = 1 - len(set(words)) / n
     out[SHAPES + 1] = 1 - len(set(lines)) / max(1, len(lines))
@@ -77,7 +78,7 @@ def content_features(text: str | None) -> np.ndarray:
 
 
 def metadata_features(source: str | None, lang: str | None, n_chars, n_lines) -> np.ndarray:
-    out = np.zeros(SOURCES + LANGUAGES + 4, np.float32)
+    out = np.zeros(METADATA, np.float32)
     out[zlib.crc32(repr(source).encode()) % SOURCES] = 1
     out[SOURCES + zlib.crc32(repr(lang).encode()) % LANGUAGES] = 1
     chars = 0.0 if n_chars is None or n_chars != n_chars else max(0.0, float(n_chars))
@@ -134,81 +135,115 @@ class CoModel:
         return _sigmoid(z[0]), _sigmoid(z[1]), _sigmoid(_logit(np.column_stack(z), self.combination))
 
 
-def cotrain(labelled: list[np.ndarray], y: np.ndarray, held: np.ndarray, pool: list[np.ndarray], rounds: int = 4, share: float = 0.05, sure: float = 0.95, penalty: float = 1.0) -> CoModel:
-    """The model from both views of labelled rows, their labels, which rows to calibrate on, and both views of a pool."""
-    if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
-        return CoModel(constant=float(np.mean(y)) if len(y) else 1.0)
-    train = [[v[~held]] for v in labelled], [[y[~held]] for _ in labelled]
-    free = np.ones(len(pool[0]), bool)
+class Cotraining:
+    """Both views' rows to learn from, growing by what the other view hands over."""
+
+    def __init__(self, views: list[np.ndarray], y: np.ndarray, held: np.ndarray, penalty: float):
+        self.held, self.held_y, self.penalty = [v[held] for v in views], y[held], penalty
+        self.x, self.y = [[v[~held]] for v in views], [[y[~held]] for _ in views]
+        self.known = len(set(y[~held])) == 2 and len(set(y[held])) == 2
+        self.good = float(np.mean(y[~held])) if self.known else 0.5
+
+    def fitted(self) -> CoModel:
+        """Both views fitted and calibrated as they stand; the combination is fitted on held-back rows."""
+        views = [fit_logistic(np.concatenate(x), np.concatenate(y), self.penalty) for x, y in zip(self.x, self.y, strict=True)]
+        calibration = [fit_logistic(_logit(h, w)[:, None], self.held_y, 1e-3) for h, w in zip(self.held, views, strict=True)]
+        z = np.column_stack([_logit(_logit(h, w)[:, None], c) for h, w, c in zip(self.held, views, calibration, strict=True)])
+        return CoModel(views, calibration, fit_logistic(z, self.held_y, 1e-2))
+
+    def hand_over(self, view: int, rows: list[bytes], label: float) -> None:
+        """Rows (both views' features each) that a view is sure of, to the other view."""
+        if rows:
+            self.x[1 - view].append(split(rows)[1 - view])
+            self.y[1 - view].append(np.full(len(rows), label))
+
+
+def split(rows: list[bytes]) -> list[np.ndarray]:
+    """Both views' features of packed rows."""
+    x = np.array([np.frombuffer(r, np.float32) for r in rows]).reshape(-1, CONTENT + METADATA)
+    return [x[:, :CONTENT], x[:, CONTENT:]]
+
+
+def packed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, h (a hash of all that is read of the document) and x, both views' features."""
+
+    def prepare():
+        buckets = ShapeBuckets()
+        one = lambda t, *m: np.concatenate([content_features(t, buckets), metadata_features(*m)]).tobytes()
+        return lambda *columns: [one(*row) for row in zip(*columns, strict=True)]
+
+    return docs.select("doc_id", F.xxhash64(text, "source", "lang", "n_chars").alias("h"), text_udf("binary", prepare)(*_columns(docs, text)).alias("x"))
+
+
+def sure_rows(pool: DataFrame, model: CoModel, sure: float, most: dict[tuple[int, int], int], taken: set[int]) -> dict[tuple[int, int], list[bytes]]:
+    """Features of the pool's documents that a view gives a label with a chance of at least sure, by view and label: at
+    most so many of each, those with the lowest h, one of each h and none of those taken before, which are added."""
+
+    def prepare():
+        return lambda rows: [{"c": float(c), "m": float(m)} for c, m in zip(*model.scores(*split(rows))[:2], strict=True)]
+
+    spark = pool.sparkSession
+    gone = spark.createDataFrame([(h,) for h in taken], "h long")
+    scored = pool.join(F.broadcast(gone), "h", "left_anti").select("h", text_udf("struct<c:double,m:double>", prepare)("x").alias("p"))
+    kinds = [(v, label) for v in (0, 1) for label in (0, 1)]
+    chance = {(v, label): F.col(f"p.{'cm'[v]}") if label else 1 - F.col(f"p.{'cm'[v]}") for v, label in kinds}
+    kind = F.explode(F.array_compact(F.array(*[F.when(chance[k] >= sure, F.lit(i)) for i, k in enumerate(kinds)])))
+    limit = F.element_at(F.array(*[F.lit(most[k]) for k in kinds]), F.col("kind") + 1)
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("h"))
+    chosen = scored.select("h", kind.alias("kind")).distinct().withColumn("n", place).where(F.col("n") <= max(most.values())).where(F.col("n") <= limit)
+    found = [(r["h"], r["kind"]) for r in chosen.select("h", "kind").collect()]
+    taken.update(h for h, _ in found)
+    wanted = spark.createDataFrame(found, "h long, kind int")
+    rows = pool.join(F.broadcast(wanted), "h").groupBy("kind", "h").agg(F.min("x").alias("x")).collect() if found else []
+    out: dict[tuple[int, int], list[bytes]] = {k: [] for k in kinds}
+    for row in sorted(rows, key=lambda r: (r["kind"], r["h"])):
+        out[kinds[row["kind"]]].append(row["x"])
+    return out
 
-    def fitted(v: int) -> tuple[np.ndarray, np.ndarray]:
-        w = fit_logistic(np.concatenate(train[0][v]), np.concatenate(train[1][v]), penalty)
-        return w, fit_logistic(_logit(labelled[v][held], w)[:, None], y[held], 1e-3)
 
-    good = float(np.mean(y[~held]))
+def train(docs: DataFrame, labels: DataFrame, n_labelled: int = 3000, text: str = "text", seed: int = 2, rounds: int = 4, grow: int = 250, sure: float = 0.95, penalty: float = 1.0) -> CoModel:
+    """The model from docs (doc_id, text, source, lang, n_chars) and labels (doc_id, quality 0 or 1)."""
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
+    below = int(min(1.0, n_labelled / max(1, known.count())) * (1 << 30))
+    chosen = known.where(chance < below).select("doc_id", "quality", (chance % 3 == 0).alias("held"))
+    every = stored(packed(docs, text))
+    rows = every.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "held", "x").collect()
+    rows = sorted(rows, key=lambda r: (r["doc_id"], r["quality"], bytes(r["x"])))
+    y = np.array([float(r["quality"] > 0) for r in rows])
+    learner = Cotraining(split([r["x"] for r in rows]), y, np.array([bool(r["held"]) for r in rows], bool), penalty)
+    if not learner.known:
+        return CoModel(constant=float(np.mean(y)) if len(y) else 1.0)
+    pool = every.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_anti")
+    most = {(v, label): max(1, round(grow * (learner.good if label else 1 - learner.good))) for v in (0, 1) for label in (0, 1)}
+    taken: set[int] = set()
     for _ in range(rounds):
-        given = 0
-        for v in (0, 1):
-            w, c = fitted(v)
-            chance = _sigmoid(_logit(_logit(pool[v], w)[:, None], c))
-            for label, p, part in ((1.0, chance, good), (0.0, 1 - chance, 1 - good)):
-                limit = max(1, int(share * len(free) * part))
-                order = np.argsort(-np.where(free, p, -1.0), kind="stable")[:limit]
-                chosen = order[(p[order] >= sure) & free[order]]
-                free[chosen] = False
-                given += len(chosen)
-                train[0][1 - v].append(pool[1 - v][chosen])
-                train[1][1 - v].append(np.full(len(chosen), label))
-        if not given:
+        handed = sure_rows(pool, learner.fitted(), sure, most, taken)
+        for (view, label), found in handed.items():
+            learner.hand_over(view, found, float(label))
+        if not any(handed.values()):
             break
-    views, calibration = zip(*[fitted(v) for v in (0, 1)], strict=True)
-    z = np.column_stack([_logit(_logit(labelled[v][held], views[v])[:, None], calibration[v]) for v in (0, 1)])
-    return CoModel(list(views), list(calibration), fit_logistic(z, y[held], 1e-2))
+    return learner.fitted()
 
 
-def sample(docs: DataFrame, labels: DataFrame, n_labelled: int, n_pool: int, text: str = "text", seed: int = 2) -> DataFrame:
-    """doc_id, quality (null in the pool), held and the packed features of the rows to learn from."""
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
-    below = lambda n, total: int(min(1.0, n / max(1, total)) * (1 << 30))
-    chosen = known.where(chance < below(n_labelled, known.count()))
-    rows = docs.join(F.broadcast(chosen), "doc_id", "left")
-    pooled = F.pmod(F.xxhash64("doc_id", F.lit(seed + 100)), F.lit(1 << 30)) < below(n_pool, docs.count())
-    rows = rows.where(F.col("quality").isNotNull() | pooled).select("doc_id", "quality", (chance % 3 == 0).alias("held"), *_columns(docs, text))
+def chances(docs: DataFrame, model: CoModel, text: str = "text") -> Column:
+    """A struct of p_content, p_metadata and score for each row of docs."""
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            content = [content_features(t).tobytes() for t in b.iloc[:, 3]]
-            metadata = [metadata_features(*r).tobytes() for r in b.iloc[:, 4:].itertuples(index=False)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "held": b["held"], "content": content, "metadata": metadata})
+    def prepare():
+        buckets = ShapeBuckets()
 
-    return rows.mapInPandas(pack, "doc_id long, quality double, held boolean, content binary, metadata binary")
+        def scored(texts, *others):
+            content = np.array([content_features(t, buckets) for t in texts]).reshape(-1, CONTENT)
+            metadata = np.array([metadata_features(*r) for r in zip(*others, strict=True)]).reshape(-1, METADATA)
+            return [dict(zip(("p_content", "p_metadata", "score"), map(float, p), strict=True)) for p in zip(*model.scores(content, metadata), strict=True)]
 
+        return scored
 
-def train(docs: DataFrame, labels: DataFrame, n_labelled: int = 3000, n_pool: int = 5000, text: str = "text", **how) -> CoModel:
-    """The model from docs (doc_id, text, source, lang, n_chars) and labels (doc_id, quality 0 or 1)."""
-    rows = sorted(sample(docs, labels, n_labelled, n_pool, text).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["quality"] is None, r["quality"] or 0, bytes(r["content"])))
-    unpack = lambda kept: [np.array([np.frombuffer(r[c], np.float32) for r in kept]) if kept else np.zeros((0, size), np.float32) for c, size in (("content", SHAPES + 6), ("metadata", SOURCES + LANGUAGES + 4))]
-    known = [r for r in rows if r["quality"] is not None and r["quality"] == r["quality"]]
-    pool = [r for r in rows if r["quality"] is None or r["quality"] != r["quality"]]
-    y = np.array([float(r["quality"] > 0) for r in known])
-    return cotrain(unpack(known), y, np.array([bool(r["held"]) for r in known], bool), unpack(pool), **how)
+    return text_udf("struct<p_content:double,p_metadata:double,score:double>", prepare)(*_columns(docs, text))
 
 
 def classify(df: DataFrame, model: CoModel, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """df with p_content, p_metadata, score and kept (score at least threshold)."""
-    out = T.StructType([T.StructField(n, T.DoubleType()) for n in ("p_content", "p_metadata", "score")])
-
-    @F.pandas_udf(out)
-    def scored(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for columns in batches:
-            parts = []
-            for at in range(0, max(1, len(columns[0])), ROWS):
-                texts, *others = (c.iloc[at : at + ROWS] for c in columns)
-                content = np.array([content_features(t) for t in texts]).reshape(-1, SHAPES + 6)
-                metadata = np.array([metadata_features(*r) for r in zip(*others, strict=True)]).reshape(-1, SOURCES + LANGUAGES + 4)
-                parts.append(np.column_stack(model.scores(content, metadata)))
-            yield pd.DataFrame(np.concatenate(parts), columns=["p_content", "p_metadata", "score"])
-
-    found = df.withColumn("_found", scored(*_columns(df, text)))
-    return found.withColumns({n: F.col(f"_found.{n}") for n in ("p_content", "p_metadata", "score")}).drop("_found").withColumn("kept", F.col("score") >= threshold)
+    names = ("p_content", "p_metadata", "score")
+    found = df.drop(*names, "kept").withColumn("_found", chances(df, model, text))
+    return found.withColumns({n: F.col(f"_found.{n}") for n in names} | {"kept": F.col("_found.score") >= threshold}).drop("_found")

@@ -32,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import cut, stored
+from panelwright.llm.common import cut, steps, stored
 from panelwright.llm.components import extended
+from panelwright.sources.session import ship
 
 WORDS = 5
 #: Links need NUM / DEN of the union in the intersection.
@@ -42,7 +43,6 @@ NUM, DEN = 4, 5
 FEW = 12
 #: Rows up to which ids and pairs (about 32 bytes each) are broadcast to the scan of texts; beyond, Spark joins.
 BROADCAST_ROWS = 1_000_000
-TEXTS = 512
 #: Set keys a task remembers, so that copies within it emit their signatures once.
 REMEMBERED = 200_000
 SHORT = -(1 << 62)
@@ -148,15 +148,16 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _per_text(df: DataFrame, make, schema: str) -> DataFrame:
-    """df's rows through make(texts, other columns) in steps of TEXTS rows; the last column is the text."""
+    """df's rows through make(texts, other columns) in small steps; the last column is the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
+            for at, n in steps(batch.columns[-1]):
+                part = batch.slice(at, n)
                 yield make([shingles(t) for t in part.columns[-1].to_pylist()], part.columns[:-1], state)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -321,7 +322,8 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     found = cut(sizes(docs))
     named = found.where("id IS NOT NULL AND n_shingles > 0")
     copies = named.groupBy("n_shingles", "k1", "k2").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = cut(named.join(copies, ["n_shingles", "k1", "k2"]).where("id <> v").groupBy(F.col("id").alias("u")).agg(F.min("v").alias("v")))
+    # One row for each set that repeats; few enough to be broadcast, so that a large group of copies is not dealt to one task.
+    copies = cut(named.join(_small(copies), ["n_shingles", "k1", "k2"]).where("id <> v").groupBy(F.col("id").alias("u")).agg(F.min("v").alias("v")))
     roots = links(docs, named, copies)
     out = found.join(roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left")
     return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("root", "id").alias("component_id"))

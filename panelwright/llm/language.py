@@ -6,34 +6,35 @@ the bundle (the sum over its trigrams) and so is a language, over its training t
 length. A text has the language of the nearest prototype by cosine, and that cosine, at least 0, is its score.
 
 Training bundles a bounded sample: at most about ``per_language`` texts of each language, those whose
-hash is lowest, so rare languages are all used. Texts become vectors in the tasks that read them; per
-language, at most ``per_language`` vectors meet in one group. The prototypes (languages x DIMENSIONS)
+hash is lowest, so rare languages are all used. Texts become vectors in the tasks that read them, and a task's
+vectors of a language are one sum, added up by Spark place by place. The prototypes (languages x DIMENSIONS)
 are all that reaches the driver. Prediction is one pass without a shuffle.
 
 A null text, or one without letters, is ``und`` with score 0, and so is every text when nothing was
-learned. Text is lower-cased; what is not a letter separates words. Ties go to the language first in order.
+learned. Text is lower-cased; letters are the Unicode categories L, marks (M) belong to the letter before them, and anything else
+separates words. Ties go to the language first in order. Equal texts have equal results.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from panelwright.llm.common import cut
+from panelwright.llm.common import cut, steps, text_udf
+from panelwright.sources.session import ship
 
 UNDETERMINED = "und"
 DIMENSIONS = 1024
-#: Trigram vectors that a worker keeps before it starts afresh; 1 kB each.
-CACHED = 30_000
+#: Trigram vectors that a task keeps before it starts afresh; 1 kB each.
+CACHED = 20_000
 #: Languages up to which their shares, about 32 bytes each, are broadcast; beyond, Spark joins as it sees fit.
 BROADCAST_LANGUAGES = 10_000
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 class Encoder:
@@ -71,7 +72,7 @@ class Encoder:
 
     def bundle(self, text: str | None) -> np.ndarray | None:
         """Sum of the text's trigram vectors, or None without letters."""
-        letters = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+        letters = " ".join(_WORD.findall((text or "").lower()))
         if not letters:
             return None
         codes = np.frombuffer(f" {letters} ".encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -95,21 +96,24 @@ def train(labelled: DataFrame, per_language: int = 1000) -> dict[str, np.ndarray
     """Unit prototypes by language, from rows of doc_id, text and lang; rows without a language teach nothing."""
     known = labelled.where(F.col("lang").isNotNull())
 
-    def bundles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder()
+        total: dict[str, np.ndarray] = {}
         for batch in batches:
-            total: dict[str, np.ndarray] = {}
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                vector = encoder.bundle(text)
-                if vector is not None:
-                    total[lang] = total.get(lang, 0) + vector / np.linalg.norm(vector)
-            yield pd.DataFrame({"lang": list(total), "vector": [v.tolist() for v in total.values()]})
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "vector": [np.sum(np.stack(group["vector"]), axis=0)]})
-
-    schema = "lang string, vector array<double>"
-    rows = sample(known, per_language).mapInPandas(bundles, schema).groupBy("lang").applyInPandas(add, schema).collect()
+            for at, n in steps(batch.column("text")):
+                part = batch.slice(at, n)
+                for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    vector = encoder.bundle(text)
+                    if vector is not None:
+                        total[lang] = total.get(lang, 0) + vector / np.linalg.norm(vector)
+        vectors = pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), vectors], ["lang", "vector"])
+
+    ship(labelled.sparkSession)
+    at, value = F.posexplode("vector").alias("at", "value"), F.sum("value").alias("value")
+    sums = sample(known, per_language).mapInArrow(bundles, "lang string, vector array<double>").select("lang", at).groupBy("lang", "at").agg(value)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"])
+    rows = sums.groupBy("lang").agg(ordered.alias("vector")).collect()
     out = {}
     for row in sorted(rows, key=lambda r: r["lang"]):
         vector = np.asarray(row["vector"], np.float32)
@@ -117,28 +121,23 @@ def train(labelled: DataFrame, per_language: int = 1000) -> dict[str, np.ndarray
     return out
 
 
-_OUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-
-
 def predict(text: Column, prototypes: dict[str, np.ndarray]) -> Column:
     """A struct of lang_pred and score for the text column."""
     names = sorted(prototypes)
     matrix = np.stack([prototypes[n] for n in names]) if names else None
 
-    @F.pandas_udf(_OUT)
-    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def prepare():
         encoder = Encoder()
-        for texts in batches:
-            rows = []
-            for text in texts:
-                vector = encoder.bundle(text) if names else None
-                norm = 0.0 if vector is None else float(np.linalg.norm(vector))
-                if not norm:
-                    rows.append((UNDETERMINED if vector is None else names[0], 0.0))
-                    continue
-                cosines = matrix @ vector / norm
-                best = int(np.argmax(cosines))
-                rows.append((names[best], min(1.0, max(0.0, float(cosines[best])))))
-            yield pd.DataFrame(rows, columns=["lang_pred", "score"])
-
-    return nearest(text)
+
+        def nearest(text: str | None) -> dict:
+            vector = encoder.bundle(text) if names else None
+            norm = 0.0 if vector is None else float(np.linalg.norm(vector))
+            if not norm:
+                return {"lang_pred": UNDETERMINED if vector is None else names[0], "score": 0.0}
+            cosines = matrix @ vector / norm
+            best = int(np.argmax(cosines))
+            return {"lang_pred": names[best], "score": min(1.0, max(0.0, float(cosines[best])))}
+
+        return lambda texts: [nearest(t) for t in texts]
+
+    return text_udf("struct<lang_pred:string,score:double>", prepare)(text)

@@ -17,15 +17,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from panelwright.llm.common import let
+from panelwright.llm.common import let, text_udf
 
 #: Kind, pattern, group whose length counts, least length; in the order of report.
 PATTERNS = (
@@ -91,7 +88,8 @@ def default_samples(docs: DataFrame, n_docs: int = 500, n_random: int = 4000, se
     """Labelled samples: digests in hexadecimal and base 64, and identifiers made of a bounded sample's words.
 
     About n_docs documents give the ordinary words (2 to 19 key characters): of each source and language its share, one at least,
-    those whose hash is lowest; neighbours joined in snake, kebab, path and camel case give compound identifiers.
+    those whose hash is lowest; neighbours joined in snake, kebab, path and camel case, in capitals and with a number give
+    compound identifiers.
     """
     spark = docs.sparkSession
     total = max(1, docs.count())
@@ -106,7 +104,9 @@ def default_samples(docs: DataFrame, n_docs: int = 500, n_random: int = 4000, se
     triples = let(words, lambda w: F.when(F.size(w) > 2, F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.slice(w, i, 3))))
     triples = near.select(F.explode(triples).alias("w"))
     camel = F.array_join(F.transform("w", lambda x: F.initcap(x)), "")
-    forms = F.array(F.element_at("w", 1), F.array_join("w", "_"), F.array_join("w", "-"), F.array_join("w", "/"), camel)
+    snake = F.array_join("w", "_")
+    versioned = F.concat(F.array_join(F.slice("w", 1, 2), "-"), F.lit("-"), F.length(camel).cast("string"))
+    forms = F.array(F.element_at("w", 1), snake, F.upper(snake), F.array_join("w", "-"), F.array_join("w", "/"), camel, F.upper(camel), versioned)
     ordinary = triples.select(F.explode(forms).alias("text"), F.lit(0).alias("label"))
     digest = F.sha2(F.concat_ws(":", F.lit(seed), F.col("id")), 256)
     code = F.base64(F.unhex(digest))
@@ -130,11 +130,16 @@ def find_patterns(text: str, compiled) -> list[tuple[int, int, int]]:
 
 
 def find_spans(text: str, compiled, long_run, models: MarkovPair | None) -> list[tuple[int, int, int]]:
+    """Spans of the patterns and, where none of them lies, of random runs: one walk through both in order."""
     found = find_patterns(text, compiled)
     if models is not None:
-        base = sorted(found)
+        base, at = sorted((a, b) for a, _, b in found), 0
+        covered = -1
         for m in long_run.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, _, b in base) and models.is_random(m.group()):
+            while at < len(base) and base[at][0] < m.end():
+                covered = max(covered, base[at][1])
+                at += 1
+            if covered <= m.start() and models.is_random(m.group()):
                 found.append((m.start(), len(KINDS) - 1, m.end()))
     return sorted(found)
 
@@ -149,9 +154,6 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-_SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-
-
 def _compile(models: MarkovPair | None):
     #: A run of hexadecimal digits shorter than the least can be passed over without changing the matches.
     compiled = [(k, re.compile(p if k != "hex" else f"[0-9a-f]{{{least},}}", flags), group, least) for k, p, flags, group, least in PATTERNS]
@@ -161,22 +163,19 @@ def _compile(models: MarkovPair | None):
 def scan(text: Column, models: MarkovPair | None) -> Column:
     """Spans of secrets in text: an array of kind, start, end, by start and then by kind as in KINDS."""
 
-    @F.pandas_udf(_SPANS)
-    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def prepare():
         compiled, long_run = _compile(models)
-        for texts in batches:
-            yield pd.Series([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in find_spans(t or "", compiled, long_run, models)] for t in texts], dtype=object)
+        spans = lambda t: [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in find_spans(t or "", compiled, long_run, models)]
+        return lambda texts: [spans(t) for t in texts]
 
-    return spans(text)
+    return text_udf("array<struct<kind:string,start:long,end:long>>", prepare)(text)
 
 
 def clean(text: Column, models: MarkovPair | None, mark: str = "[secret]") -> Column:
     """text with its secrets replaced by mark; null stays null."""
 
-    @F.pandas_udf(T.StringType())
-    def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def prepare():
         compiled, long_run = _compile(models)
-        for texts in batches:
-            yield pd.Series([None if t is None else redact(t, find_spans(t, compiled, long_run, models), mark) for t in texts], dtype=object)
+        return lambda texts: [None if t is None else redact(t, find_spans(t, compiled, long_run, models), mark) for t in texts]
 
-    return cleaned(text)
+    return text_udf("string", prepare)(text)
