@@ -39,16 +39,22 @@ BROADCAST_ROWS = 100_000
 NEEDS = {"assign": (True, (b"passw", b"secret", b"token", b"apikey", b"api_key")), "access": (False, (b"AKIA",)), "hex": (False, ())}
 
 
+#: Share of the uniform distribution in each transition's chance: a transition that no ordinary sample has, as between
+#: rare words, weighs a few bits and not many.
+UNSEEN = 0.2
+
+
 class MarkovPair:
-    """Log2 ratio of transition probabilities, random over ordinary, with add-half smoothing."""
+    """Log2 ratio of transition probabilities, random over ordinary, each mixed with the uniform distribution."""
 
-    def __init__(self, counts: dict[tuple[str, str, int], int], min_length: int = 20, min_bits: float = 1.0):
+    def __init__(self, counts: dict[tuple[str, str, int], int], min_length: int = 20, min_bits: float = 0.5):
         size = len(ALPHABET)
         place = {c: i for i, c in enumerate(ALPHABET)}
-        tables = np.full((2, size, size), 0.5)
+        tables = np.zeros((2, size, size))
         for (a, b, label), n in counts.items():
             tables[label, place[a], place[b]] += n
-        chance = tables / tables.sum(axis=2, keepdims=True)
+        total = tables.sum(axis=2, keepdims=True)
+        chance = UNSEEN / size + (1 - UNSEEN) * np.where(total > 0, tables / np.maximum(total, 1), 1 / size)
         self.ratio = np.log2(chance[1]) - np.log2(chance[0])
         self.codes = np.zeros(128, np.int64)
         for c, i in place.items():
