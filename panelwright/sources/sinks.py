@@ -71,16 +71,21 @@ def insert_once(new: DataFrame, path: str, keys: list[str]) -> int:
     if fs.exists(place):
         fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
     fresh = fresh.persist()
-    n = fresh.count()
-    fresh.write.mode("append").parquet(path)
+    try:
+        n = fresh.count()
+        fresh.write.mode("append").parquet(path)
+    finally:
+        fresh.unpersist()
     return n
 
 
 def append_log(old: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Log with new rows added; the first copy of a key stays."""
+    """Log with new rows added; the first copy of a key stays, and among new ones the first by their other columns."""
+    w = Window.partitionBy(*keys).orderBy(*[c for c in new.columns if c not in keys] or keys)
+    fresh = new.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     if old is None:
-        return new.dropDuplicates(keys)
-    return old.unionByName(new.join(old.select(*keys), keys, "left_anti").dropDuplicates(keys), allowMissingColumns=True)
+        return fresh
+    return old.unionByName(fresh.join(old.select(*keys), keys, "left_anti"), allowMissingColumns=True)
 
 
 def quarantine(held: DataFrame, path: str) -> DataFrame:
