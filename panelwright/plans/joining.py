@@ -184,7 +184,7 @@ def set_version_digest(spark, sf_dir):
 
 @query(
     "er_block",
-    """WITH t AS (SELECT page_id AS id, unnest(list_distinct(string_split_regex(lower(url), '[^a-z0-9]+'))) AS token FROM pages), d AS (SELECT token, count(*) AS df FROM t WHERE token <> '' GROUP BY token HAVING count(*) BETWEEN 2 AND 60),
+    """WITH t AS (SELECT page_id AS id, unnest(list_distinct(string_split_regex(lower(url), '[^a-z0-9]+'))) AS token FROM pages), d AS (SELECT token, count(*) AS df FROM t WHERE token <> '' GROUP BY token HAVING count(*) BETWEEN 2 AND greatest(60, (SELECT count(*) FROM pages) // 50)),
     n AS (SELECT count(*) AS n FROM pages), s AS (SELECT a.id, b.id AS other, count(*) AS shared, sum(ln(n.n / d.df)) AS weight FROM t a JOIN d USING (token) JOIN t b USING (token) CROSS JOIN n WHERE a.id <> b.id GROUP BY 1, 2)
     SELECT id, other, shared FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(weight, 9) DESC, other) AS p FROM s) WHERE p <= 5""",
 )
