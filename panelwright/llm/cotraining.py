@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import stored, text_udf
+from panelwright.llm.common import cut, stored, text_udf
 
 #: Buckets of word shapes, sources and languages.
 SHAPES, SOURCES, LANGUAGES = 192, 48, 16
@@ -190,13 +190,21 @@ def sure_rows(pool: DataFrame, model: CoModel, sure: float, most: dict[tuple[int
     kind = F.explode(F.array_compact(F.array(*[F.when(chance[k] >= sure, F.lit(i)) for i, k in enumerate(kinds)])))
     limit = F.element_at(F.array(*[F.lit(most[k]) for k in kinds]), F.col("kind") + 1)
     place = F.row_number().over(Window.partitionBy("kind").orderBy("h"))
-    chosen = scored.select("h", kind.alias("kind")).distinct().withColumn("n", place).where(F.col("n") <= max(most.values())).where(F.col("n") <= limit)
+    rows = cut(scored.select("h", kind.alias("kind")).distinct())
+    counts = {r["kind"]: r["n"] for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    # Hashes are even over their range: those below share have some four times as many as are taken, however many tasks
+    # there are. Should they be too few, all are ordered.
+    share = [min(1.0, (4 * most[k] + 100) / counts.get(i, 1)) for i, k in enumerate(kinds)]
+    low = rows.where(F.col("h") / 2.0**64 + 0.5 <= F.element_at(F.array(*map(F.lit, share)), F.col("kind") + 1))
+    below = {r["kind"]: r["n"] for r in low.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    enough = all(below.get(i, 0) >= min(most[kinds[i]], n) for i, n in counts.items())
+    chosen = (low if enough else rows).withColumn("n", place).where(F.col("n") <= max(most.values())).where(F.col("n") <= limit)
     found = [(r["h"], r["kind"]) for r in chosen.select("h", "kind").collect()]
     taken.update(h for h, _ in found)
     wanted = spark.createDataFrame(found, "h long, kind int")
-    rows = pool.join(F.broadcast(wanted), "h").groupBy("kind", "h").agg(F.min("x").alias("x")).collect() if found else []
+    features = pool.join(F.broadcast(wanted), "h").groupBy("kind", "h").agg(F.min("x").alias("x")).collect() if found else []
     out: dict[tuple[int, int], list[bytes]] = {k: [] for k in kinds}
-    for row in sorted(rows, key=lambda r: (r["kind"], r["h"])):
+    for row in sorted(features, key=lambda r: (r["kind"], r["h"])):
         out[kinds[row["kind"]]].append(row["x"])
     return out
 
