@@ -43,6 +43,9 @@ NUM, DEN = 4, 5
 FEW = 12
 #: Rows up to which ids and pairs (about 32 bytes each) are broadcast to the scan of texts; beyond, Spark joins.
 BROADCAST_ROWS = 1_000_000
+#: One document in so many is looked at for signatures that many share, HOT of them at least; their rows, as those of the sets
+#: that are short, are dealt over SALTS tasks. This says where rows go, not what becomes of them.
+LOOKED_AT, HOT, SALTS = 64, 32, 256
 #: Set keys a task remembers, so that copies within it emit their signatures once.
 REMEMBERED = 200_000
 SHORT = -(1 << 62)
@@ -284,16 +287,39 @@ def proposals(shared: DataFrame, found: DataFrame, certain: bool) -> tuple[DataF
     return pairs, _sized(stars, found).select("u", "v", "n")
 
 
+def crowded(docs: DataFrame, seed: int) -> DataFrame:
+    """sig, hot (true): the signatures that many of the documents looked at have, about LOOKED_AT * HOT rows of all and more,
+    and no more of them than are broadcast."""
+    seen = signed(docs.where(F.pmod(F.xxhash64("id"), F.lit(LOOKED_AT)) == 0), seed).groupBy("sig").agg(F.count("*").alias("n"))
+    seen, least = cut(seen.where((F.col("n") >= HOT) & (F.col("sig") != SHORT))), HOT
+    while seen.where(F.col("n") >= least).count() > BROADCAST_ROWS:
+        least *= 2
+    return F.broadcast(seen.where(F.col("n") >= least).select("sig", F.lit(True).alias("hot")))
+
+
+def grouped(docs: DataFrame, seed: int) -> DataFrame:
+    """signed() rows of signatures of several sets, and of SHORT, with the signature's smallest id (lo), its rows (n) and, up to
+    FEW rows, those that follow (next). No signature's rows all meet in one task, but for those that are not crowded."""
+    salt = F.when((F.col("sig") == SHORT) | F.col("hot").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0))
+    rows = signed(docs, seed).join(crowded(docs, seed), "sig", "left").withColumn("salt", salt)
+    bucket = Window.partitionBy("sig", "salt").orderBy("id")
+    whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("lo", F.min("id").over(whole)).withColumn("n", F.count("*").over(whole))
+    small = F.col("hot").isNull() & (F.col("sig") != SHORT) & (F.col("n") <= FEW)
+    rows = rows.where((F.col("n") > 1) | F.col("hot").isNotNull() | (F.col("sig") == SHORT))
+    rows = stored(rows.withColumn("next", F.when(small, F.collect_list(F.struct("id", "m")).over(bucket.rowsBetween(1, FEW - 1)))).drop("salt"))
+    # A crowded signature is a large one, however its rows are dealt.
+    total = rows.where("hot").groupBy("sig").agg(F.min("lo").alias("_lo"), F.greatest(F.count("*"), F.lit(FEW + 1)).alias("_n"))
+    rows = rows.join(F.broadcast(cut(total)), "sig", "left")
+    return rows.select("sig", "id", "m", F.coalesce("_lo", "lo").alias("lo"), F.coalesce("_n", "n").alias("n"), "next")
+
+
 def links(docs: DataFrame, found: DataFrame, copies: DataFrame) -> DataFrame:
     """The components of docs (id, text), whose set sizes found has, as u with the smallest v: from copies (u of equal set
     as the smallest v), and such links, each exact, that no other link changes a component."""
     roots, short, seed = copies, None, 0
-    bucket = Window.partitionBy("sig").orderBy("id")
-    whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     while True:
-        shared = signed(docs, seed).withColumn("lo", F.min("id").over(whole)).withColumn("n", F.count("*").over(whole))
-        shared = shared.where((F.col("n") > 1) | (F.col("sig") == SHORT)).withColumn("next", F.when(F.col("n") <= FEW, F.collect_list(F.struct("id", "m")).over(bucket.rowsBetween(1, FEW - 1))))
-        shared = stored(shared)
+        shared = grouped(docs, seed)
         here = shared.where(F.col("sig") == SHORT).select("id")
         certain = not here.take(1)
         groups = shared.where(F.col("sig") != SHORT)

@@ -335,9 +335,12 @@ def brute_components(known):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def test_join_matches_brute_force(spark, docs):
+@pytest.mark.parametrize("looked_at, hot", [(64, 32), (1, 2), (3, 4)])
+def test_join_matches_brute_force(spark, docs, monkeypatch, looked_at, hot):
     import random
 
+    monkeypatch.setattr(jaccard_join, "LOOKED_AT", looked_at)
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
     rng = random.Random(9)
     rows, passage = [], " ".join(f"common{i}" for i in range(40))
     for g in range(12):
