@@ -212,3 +212,43 @@ def agg_cluster_bootstrap(spark, sf_dir):
     each = by.where("d IS NOT NULL").groupBy("b").agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("d"))
     cut = lambda p: F.round(F.percentile("d", p), 9)
     return each.agg(cut(0.05).alias("lo"), cut(0.5).alias("middle"), cut(0.95).alias("hi"))
+
+
+@query(
+    "text_grounded",
+    """WITH w AS (SELECT conv_id, turn, role, list_distinct(regexp_extract_all(text, '[A-Za-z]{3,}')) AS words FROM conversations WHERE text IS NOT NULL)
+    SELECT s.conv_id, s.turn, len(list_intersect(s.words, o.words)) AS own, len(list_intersect(s.words, x.words)) AS other, len(list_intersect(s.words, o.words)) > len(list_intersect(s.words, x.words)) AS grounded
+    FROM w s JOIN w o ON s.role = 'assistant' AND o.conv_id = s.conv_id AND o.turn = s.turn - 1 JOIN w x ON x.conv_id = s.conv_id + 1 AND x.turn = s.turn - 1""",
+)
+def text_grounded(spark, sf_dir):
+    """Whether an answer has more words of what it answers than of another item."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)))
+    rows = read(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", "role", words.alias("words"))
+    own = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("words").alias("o"))
+    other = rows.select((F.col("conv_id") - 1).alias("conv_id"), (F.col("turn") + 1).alias("turn"), F.col("words").alias("x"))
+    both = rows.where("role = 'assistant'").join(own, ["conv_id", "turn"]).join(other, ["conv_id", "turn"])
+    shared = lambda c: F.size(F.array_intersect("words", c)).cast("long")
+    return both.select("conv_id", "turn", shared("o").alias("own"), shared("x").alias("other")).withColumn("grounded", F.col("own") > F.col("other"))
+
+
+@query(
+    "src_registered",
+    "SELECT sha256(text) AS sha, min(doc_id) AS source_id, count(*) AS runs, max(len(string_split(text, chr(10)))) AS n_rows FROM documents WHERE text IS NOT NULL GROUP BY 1",
+)
+def src_registered(spark, sf_dir):
+    """Sources by the hash of their content, the first id that brought it, how often it came and its rows."""
+    rows = read(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.sha2("text", 256).alias("sha"), "doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n"))
+    return rows.groupBy("sha").agg(F.min("doc_id").alias("source_id"), F.count("*").alias("runs"), F.max("n").alias("n_rows"))
+
+
+@query(
+    "sink_timeline",
+    """WITH t AS (SELECT c_custkey AS k, CAST(o_orderdate AS DATE) AS d, o_orderkey AS i, o_totalprice AS v, o_orderkey % 4 = 0 AS here FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT k, d, arg_min(i, row(CAST(NOT here AS INTEGER), i)) AS i, arg_min(v, row(CAST(NOT here AS INTEGER), i)) AS v FROM t GROUP BY 1, 2""",
+)
+def sink_timeline(spark, sf_dir):
+    """History loaded for known keys: a (key, day) that is there stays, the first of new ones comes in."""
+    keys = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    t = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("d"), F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("v")).join(keys, "k")
+    first = t.groupBy("k", "d").agg(F.min(F.struct((F.col("i") % 4 != 0).alias("new"), "i", "v")).alias("f"))
+    return first.select("k", "d", "f.i", "f.v")
