@@ -149,3 +149,50 @@ def cue_state(text: Column, cue: str, states: list[tuple[str, str]]) -> Column:
     after = F.regexp_extract(text, f"(?is){cue}(.*)$", 1)
     at = F.array(*[F.struct(F.regexp_instr(after, F.lit(f"((?i){verb})")).alias("at"), F.lit(i).alias("i"), F.lit(name).alias("state")) for i, (name, verb) in enumerate(states)])
     return F.array_min(F.filter(at, lambda s: s["at"] > 0))["state"]
+
+
+def road_ids(text: Column) -> Column:
+    """Numbers of the roads a text names, sorted and joined by ';'; null without any. Where one is tagged NEW the untagged
+    ones do not count; those tagged OLD, ERSTWHILE or JUNCTION never do. Leading zeros are dropped."""
+    up = F.upper(text)
+    pattern = F.lit(r"(?:\b(NEW|OLD|ERSTWHILE|JUNCTION)\W+)?\bNH[\s.-]*0*([1-9]\d{0,2}[A-Z]?)\b")
+    tags, ids = F.regexp_extract_all(up, pattern, F.lit(1)), F.regexp_extract_all(up, pattern, F.lit(2))
+    new = F.array_contains(tags, "NEW")
+    kept = F.filter(ids, lambda _, i: (F.get(tags, i) == "NEW") | (~new & (F.get(tags, i) == "")))
+    return F.when(F.size(kept) > 0, F.array_join(F.array_sort(F.array_distinct(kept)), ";"))
+
+
+def is_linear(group: Column, name: Column, always: list[str], groups: list[str], linear: str, other: str) -> Column:
+    """Whether a project is a line: some groups always are; else a name matching linear is, one matching other is not, and
+    the rest follow groups. Null names match nothing."""
+    named, not_named = (F.coalesce(F.lower(name).rlike(p), F.lit(False)) for p in (linear, other))
+    return named | F.coalesce(group.isin(always), F.lit(False)) | (~not_named & F.coalesce(group.isin(groups), F.lit(False)))
+
+
+def canonical(name: Column, aliases: dict[str, str], noise: tuple[str, ...], junk: tuple[str, ...]) -> Column:
+    """A struct of the canonical form of a printed name and the rule that gave it, the first of: missing, invalid (junk),
+    alias, bracket (an acronym after two words or more), prefix (a known code before FOR or OF), alias_prefix (the longest
+    alias that begins the name), normalised."""
+    known = {a: c for a, c in aliases.items()} | {c: c for c in aliases.values()}
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+
+    def bare(x: Column) -> Column:
+        words = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.upper(x), "&", " AND "), "[^A-Z0-9]+", " ")), " ")
+        return F.regexp_replace(F.array_join(F.filter(words, lambda w: ~w.isin(*noise)), " "), r"(?: (?:I|II|III|IV))+$", "")
+
+    s, code = bare(name), F.regexp_extract(name, r"\(([A-Z]{2,10})\)", 1)
+    rest, first = F.size(F.split(bare(F.regexp_replace(name, r"\([A-Z]{2,10}\)", " ")), " ")), F.element_at(F.split(s, " "), 1)
+    head = F.coalesce(*[F.when(s.startswith(a + " "), F.lit(c)) for a, c in sorted(aliases.items(), key=lambda p: (-len(p[0]), p[0]))])
+
+    def found(value, rule: str) -> Column:
+        return F.struct(value.cast("string").alias("name"), F.lit(rule).alias("rule"))
+
+    return (
+        F.when(F.coalesce(F.trim(name), F.lit("")) == "", found(F.lit(None), "missing"))
+        .when(s.isin("", *junk), found(F.lit(None), "invalid"))
+        .when(F.element_at(table, s).isNotNull(), found(F.element_at(table, s), "alias"))
+        .when((code != "") & (rest >= 2), found(F.coalesce(F.element_at(table, code), code), "bracket"))
+        .when(s.rlike(r"^[A-Z0-9]+ (FOR|OF)\b") & F.element_at(table, first).isNotNull(), found(F.element_at(table, first), "prefix"))
+        .when(head.isNotNull(), found(head, "alias_prefix"))
+        .otherwise(found(s, "normalised"))
+    )
