@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import text as T
 from panelwright.functions.dates import calendar_months_between
-from panelwright.functions.scalars import clip
+from panelwright.functions.scalars import clip, ratio
 from panelwright.operators import temporal
 from panelwright.plans.panel import PANEL_SQL, labels, panel
 from panelwright.plans.registry import query
@@ -375,3 +375,66 @@ def serve_forecast(spark, sf_dir):
         F.round(F.greatest(to("own"), to("best"), to("pace")), 6).alias("hi"),
         F.add_months(F.to_date("at"), 3 * F.col("step")).alias("due"),
     )
+
+
+@query(
+    "serve_research_keys",
+    """WITH now AS (SELECT max(ts) - INTERVAL 10 DAY AS since FROM events), f AS (SELECT *, event_type IN ('error', 'signup') AND ts > since AS live FROM events CROSS JOIN now)
+    SELECT c_custkey, coalesce(n_facts, 0) AS n_facts, coalesce(n_live, 0) AS n_live, latest FROM customer LEFT JOIN (SELECT user_id, count(*) AS n_facts, count(*) FILTER (WHERE live) AS n_live, arg_max(event_type, row(ts, event_id)) AS latest FROM f GROUP BY 1) ON user_id = c_custkey""",
+)
+def serve_research_keys(spark, sf_dir):
+    """Facts of each key, those that are live and negative, and the latest status; keys without facts stay."""
+    events = read(spark, sf_dir, "events")
+    since = F.broadcast(events.agg((F.max("ts") - F.expr("interval 10 days")).alias("since")))  # one row
+    live = F.col("event_type").isin("error", "signup") & (F.col("ts") > F.col("since"))
+    by = events.crossJoin(since).groupBy(F.col("user_id").alias("c_custkey")).agg(F.count("*").alias("n_facts"), F.count_if(live).alias("n_live"), F.max_by("event_type", F.struct("ts", "event_id")).alias("latest"))
+    n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return read(spark, sf_dir, "customer").select("c_custkey").join(by, "c_custkey", "left").select("c_custkey", n("n_facts"), n("n_live"), "latest")
+
+
+@query(
+    "ml_series_features",
+    f"""WITH {PANEL_SQL}, s AS (SELECT *, lag(x) OVER w AS p1, lag(x, 2) OVER w AS p2, min(x) OVER w AS least, max(x) OVER w AS most, first_value(x) OVER w AS x0, row_number() OVER w AS step, lead(x) OVER w AS next FROM panel WINDOW w AS (PARTITION BY k ORDER BY q))
+    SELECT k, q, step, x - p1 AS change, (x - p1) - (p1 - p2) AS change_of_change, x / nullif(x0, 0) AS growth, (x - least) / nullif(most - least, 0) AS position, next IS NOT NULL AS has_label, CASE WHEN next IS NOT NULL THEN next > x END AS label, coalesce(x > p1, false) AS persistence FROM s""",
+)
+def ml_series_features(spark, sf_dir):
+    """The older feature set: changes, growth and position of a series as of each row, its label, and the persistence baseline."""
+    w = Window.partitionBy("k").orderBy("q")
+    x, p1, p2, least, most = F.col("x"), F.lag("x").over(w), F.lag("x", 2).over(w), F.min("x").over(w), F.max("x").over(w)
+    after = F.lead("x").over(w)
+    return panel(spark, sf_dir).select(
+        "k",
+        "q",
+        F.row_number().over(w).alias("step"),
+        (x - p1).alias("change"),
+        ((x - p1) - (p1 - p2)).alias("change_of_change"),
+        ratio(x, F.first("x").over(w)).alias("growth"),
+        ratio(x - least, most - least).alias("position"),
+        after.isNotNull().alias("has_label"),
+        F.when(after.isNotNull(), after > x).alias("label"),
+        F.coalesce(x > p1, F.lit(False)).alias("persistence"),
+    )
+
+
+@query(
+    "serve_key_rows",
+    """WITH a AS (SELECT 'P' || l_partkey AS alias, l_suppkey AS k, l_shipdate AS "at", l_orderkey * 10 + l_linenumber AS tie FROM lineitem UNION ALL SELECT 'P' || p_partkey, -1, NULL, p_partkey FROM part)
+    SELECT alias, arg_max(k, row(coalesce("at", TIMESTAMP '1900-01-01'), tie, k)) AS k, count(DISTINCT k) AS n_keys FROM a GROUP BY 1""",
+)
+def serve_key_rows(spark, sf_dir):
+    """Alias to key: of several keys the last wins, a key of its own only where there is no other."""
+    used = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("k"), F.col("l_shipdate").alias("at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tie"))
+    own = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), F.lit(-1).cast("long").alias("k"), F.lit("1900-01-01").cast("timestamp").alias("at"), F.col("p_partkey").alias("tie"))
+    alias = F.concat(F.lit("P"), F.col("p").cast("string"))
+    return used.unionByName(own).groupBy(alias.alias("alias")).agg(F.max_by("k", F.struct("at", "tie", "k")).alias("k"), F.count_distinct("k").alias("n_keys"))
+
+
+@query(
+    "serve_document_rows",
+    """WITH n AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) SELECT source, CAST(sum(n) AS BIGINT) AS n_docs, arg_min(lang, row(-n, lang)) AS modal_lang, count(DISTINCT lang) AS n_langs FROM n GROUP BY 1""",
+)
+def serve_document_rows(spark, sf_dir):
+    """One row a source: documents and the commonest language, the first by name where several are."""
+    n = read(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    known = F.when(F.col("lang").isNotNull(), F.struct(-F.col("n"), "lang"))
+    return n.groupBy("source").agg(F.sum("n").alias("n_docs"), F.min_by("lang", known).alias("modal_lang"), F.count_distinct("lang").alias("n_langs"))
