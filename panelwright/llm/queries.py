@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import attribution, bpe, cotraining, fingerprint, html_text, jaccard_join, language, mixing, quality_rules, secret_scan
+from panelwright.llm import attribution, bpe, cotraining, elkan, exact_dedup, fingerprint, html_text, jaccard_join, language, mixing, norm_search, quality_rules, secret_scan
 from panelwright.llm.common import cut, table
 
 
@@ -181,6 +181,74 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For the anchors, ids divisible by 100, and their five best rows of equal label: the ten best rows of other labels in the window."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return norm_search.hard_negatives(rows, "vec_id", "embedding", label, F.col("id") % 100 == 0)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT a.r AS anchor, a.id AS anchor_id, b.r, b.id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v AS a JOIN v AS b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE a.id % 100 = 0
+), p AS (
+  SELECT anchor, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id NULLS LAST, r) AS place FROM s WHERE same QUALIFY place <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.id NULLS LAST, s.r) AS INTEGER) AS rank,
+  s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 100 * s.score BETWEEN 30 * p.positive_score AND 90 * p.positive_score
+QUALIFY rank <= 10
+"""
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector of 64 components after five rounds of 40 centroids, exact distances and their sums."""
+    return elkan.with_inertia(*elkan.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def _op12_sql() -> str:
+    """The rounds spelled out: a<i> has each vector's centroid in round i, c<i> the centroids before it."""
+    nearest = """a{i} AS (
+  SELECT v.r, arg_min(c.n, v.q + list_inner_product(c.p, c.p) - 2 * list_inner_product(v.e, c.p) + c.n / 1024) AS n,
+    CAST(min(v.q + list_inner_product(c.p, c.p) - 2 * list_inner_product(v.e, c.p)) AS BIGINT) AS distance
+  FROM v CROSS JOIN c{i} AS c GROUP BY v.r
+)"""
+    moved = """m{i} AS (
+  SELECT n, list(CAST(floor(total / size) AS DOUBLE) ORDER BY place) AS p
+  FROM (SELECT a.n, g.place, sum(v.e[g.place]) AS total, count(*) AS size FROM a{i} AS a JOIN v ON v.r = a.r CROSS JOIN generate_series(1, 64) AS g(place) GROUP BY a.n, g.place) GROUP BY n
+), c{j} AS (SELECT c.n, coalesce(m.p, c.p) AS p FROM c{i} AS c LEFT JOIN m{i} AS m ON m.n = c.n)"""
+    rounds = ",\n".join(f"{nearest.format(i=i)},\n{moved.format(i=i, j=i + 1)}" for i in range(5))
+    return f"""
+WITH w AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), v AS MATERIALIZED (SELECT *, list_inner_product(e, e) AS q FROM w),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, e) - 1 AS n, e AS p FROM v QUALIFY n < 40),
+{rounds},
+{nearest.format(i=5)}
+SELECT v.vec_id, CAST(a.n AS INTEGER) AS cluster, a.distance, CAST(sum(a.distance) OVER (PARTITION BY a.n) AS BIGINT) AS cluster_inertia, CAST(sum(a.distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string([CAST(x AS BIGINT) FOR x IN c.p], ',')) AS centroid_sha256
+FROM a5 AS a JOIN v ON v.r = a.r JOIN c5 AS c ON c.n = a.n
+"""
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of equal texts: the row that stays, its size and its digest."""
+    return exact_dedup.marked(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d
+"""
+
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_quality_classifier": op2_quality_classifier,
@@ -192,9 +260,15 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_ngram_join": op9_ngram_join,
     "op10_html_text": op10_html_text,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_centroids": op12_centroids,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_fingerprint": OP1_SQL,
     "op5_mixing": OP5_SQL,
     "op9_ngram_join": OP9_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_centroids": _op12_sql(),
+    "op13_exact_dedup": OP13_SQL,
 }
