@@ -58,10 +58,10 @@ def logistic(train: DataFrame, test: DataFrame, y: str, numeric: list[str], cate
     return _scored(model, test, test.columns)
 
 
-def boosted(train: DataFrame, test: DataFrame, y: str, numeric: list[str], categorical: list[str], weight: str | None = None, trees: int = 10) -> DataFrame:
+def boosted(train: DataFrame, test: DataFrame, y: str, numeric: list[str], categorical: list[str], weight: str | None = None, trees: int = 10, seed: int = 7) -> DataFrame:
     """Gradient-boosted trees; weight names a column of row weights."""
     rows = train.withColumn("label", F.col(y).cast("double"))
-    gbt = GBTClassifier(maxIter=trees, maxDepth=3, seed=7, **({"weightCol": weight} if weight else {}))
+    gbt = GBTClassifier(maxIter=trees, maxDepth=3, seed=seed, **({"weightCol": weight} if weight else {}))
     return _scored(Pipeline(stages=[*_features(numeric, categorical), gbt]).fit(rows), test, test.columns)
 
 
