@@ -9,18 +9,19 @@ from panelwright.sources.tables import read
 from panelwright.streaming import flows
 
 
-def _events(spark, sf_dir):
-    return flows.table_arrivals(spark, f"{sf_dir}/events.parquet", read(spark, sf_dir, "events").schema)
+#: How late a row may come.
+LATE = "1 hour"
 
 
-def _late(spark, sf_dir):
-    return flows.span(read(spark, sf_dir, "events"), "ts")
+def _run(spark, sf_dir, flow, mode, new_by=None):
+    """Rows by batch of a flow over the events as they came in."""
+    return flows.run_replayed(spark, read(spark, sf_dir, "events"), "ts", flow, mode, new_by=new_by)
 
 
 @query("stream_tumbling", "SELECT event_type, date_trunc('day', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, sf_dir):
-    stream = flows.tumbling(_events(spark, sf_dir), "ts", "1 day", ["event_type"], _late(spark, sf_dir), [F.count("*").alias("n"), F.sum("value").alias("total")])
-    rows = flows.latest(spark, flows.run_available(stream, flows.flow_folder(spark), "update"), ["start", "event_type"])
+    flow = lambda events: flows.tumbling(events, "ts", "1 day", ["event_type"], LATE, [F.count("*").alias("n"), F.sum("value").alias("total")])
+    rows = flows.latest(spark, _run(spark, sf_dir, flow, "update"), ["start", "event_type"])
     return rows.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
 
 
@@ -30,9 +31,8 @@ def stream_tumbling(spark, sf_dir):
 )
 def stream_sliding(spark, sf_dir):
     """Two-day windows, every day, in which a user had at least three errors."""
-    errors = _events(spark, sf_dir).where("event_type = 'error'")
-    stream = flows.sliding(errors, "ts", "2 days", "1 day", ["user_id"], _late(spark, sf_dir), [F.count("*").alias("n")])
-    rows = flows.latest(spark, flows.run_available(stream, flows.flow_folder(spark), "update"), ["start", "user_id"])
+    flow = lambda events: flows.sliding(events.where("event_type = 'error'"), "ts", "2 days", "1 day", ["user_id"], LATE, [F.count("*").alias("n")])
+    rows = flows.latest(spark, _run(spark, sf_dir, flow, "update"), ["start", "user_id"])
     return rows.where("n >= 3").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
@@ -42,15 +42,14 @@ def stream_sliding(spark, sf_dir):
     SELECT user_id, min(ts) AS start, count(*) AS n FROM i GROUP BY user_id, s""",
 )
 def stream_sessions(spark, sf_dir):
-    stream = flows.sessions(_events(spark, sf_dir), "ts", "12 hours", ["user_id"], _late(spark, sf_dir), [F.count("*").alias("n")])
-    rows = flows.last_batch(spark, flows.run_available(stream, flows.flow_folder(spark), "complete"))
+    flow = lambda events: flows.sessions(events, "ts", "12 hours", ["user_id"], LATE, [F.count("*").alias("n")])
+    rows = flows.last_batch(spark, _run(spark, sf_dir, flow, "complete"))
     return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("stream_once", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, event_id FROM events) GROUP BY 1, 2")
 def stream_once(spark, sf_dir):
-    stream = flows.once(_events(spark, sf_dir), "ts", _late(spark, sf_dir), ["event_id"])
-    rows = spark.read.parquet(flows.run_available(stream, flows.flow_folder(spark), "append"))
+    rows = spark.read.parquet(_run(spark, sf_dir, lambda events: flows.once(events, "ts", LATE, ["event_id"]), "append", ["event_id"]))
     return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
@@ -90,3 +89,44 @@ def stream_new_by_either(spark, sf_dir):
     """Signals new by address hash and by text hash."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("text_hash"), F.md5(F.concat("source", "lang", F.col("n_chars").cast("string"))).alias("url_hash"))
     return flows.new_by_either(docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0"), ("url_hash", "text_hash"), ["doc_id"]).select("doc_id")
+
+
+@query(
+    "stream_tier_alerts",
+    """WITH t AS (SELECT user_id, ts, event_id, CASE WHEN value >= 150 THEN 'critical' WHEN value >= 80 THEN 'high' WHEN value >= 30 THEN 'medium' ELSE 'low' END AS tier FROM events WHERE value IS NOT NULL),
+    l AS (SELECT *, lag(tier) OVER w AS was, ts - lag(ts) OVER w > INTERVAL 20 DAY AS forgotten FROM t WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    r AS (SELECT *, was IS NULL OR forgotten AS is_new, CASE tier WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS n, CASE was WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS m FROM l)
+    SELECT CAST(user_id AS VARCHAR) AS key, event_id, CASE WHEN is_new THEN 'new' WHEN n < m THEN 'tier_up' ELSE 'tier_down' END AS kind,
+      CASE WHEN is_new THEN CASE WHEN n < 2 THEN 2 ELSE 1 END WHEN n < m THEN CASE WHEN n = 0 THEN 3 ELSE 2 END ELSE 1 END AS severity, CASE WHEN NOT is_new THEN was END AS was, tier
+    FROM r WHERE is_new OR n < m AND n < 2 OR n > m AND m < 2""",
+)
+def stream_tier_alerts(spark, sf_dir):
+    """Alerts of users whose events' value moves them into or out of a watched tier, from state kept by user over several starts of the flow."""
+    v = F.col("value")
+    tier = F.when(v >= 150, "critical").when(v >= 80, "high").when(v >= 30, "medium").when(v.isNotNull(), "low")
+    flow = lambda events: flows.tier_alerts(events.withColumn("tier", tier), "user_id", "ts", "event_id", "tier", LATE, 20)
+    rows = spark.read.parquet(_run(spark, sf_dir, flow, "append"))
+    return rows.select("key", F.col("seq").alias("event_id"), "kind", "severity", "was", "tier")
+
+
+@query(
+    "stream_realised",
+    """SELECT o_orderkey, min(l_shipdate) AS shipped FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1 AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 60 DAY GROUP BY 1""",
+)
+def stream_realised(spark, sf_dir):
+    """Orders, and as their outcome the shipment of the first item within 60 days; both arrive by time. What stays open at the end has no outcome."""
+    made, came = flows.flow_folder(spark), flows.flow_folder(spark)
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("made"))
+    items = read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").cast("timestamp").alias("came"))
+    folder = flows.flow_folder(spark)
+
+    def arrive(part):
+        part.where("side = 0").select("o_orderkey", F.col("at").alias("made")).write.mode("append").parquet(made)
+        part.where("side = 1").select("o_orderkey", F.col("at").alias("came")).write.mode("append").parquet(came)
+        joined = flows.realised_stream(flows.arrivals(spark, made, orders.schema), flows.arrivals(spark, came, items.schema), ["o_orderkey"], "made", "came", "60 DAYS", "1 day")
+        flows.run_available(joined, folder, "append")
+
+    both = orders.select("o_orderkey", F.col("made").alias("at"), F.lit(0).alias("side")).unionByName(items.select("o_orderkey", F.col("came").alias("at"), F.lit(1).alias("side")))
+    flows.replayed(both, "at", 3, arrive)
+    found = spark.read.parquet(f"{folder}/rows").where("came IS NOT NULL").groupBy("o_orderkey").agg(F.min("came").alias("shipped"))
+    return orders.join(found, "o_orderkey", "left").select("o_orderkey", F.col("shipped").cast("timestamp_ntz").alias("shipped"))

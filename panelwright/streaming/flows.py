@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelwright.operators.relational import diff
 from panelwright.sources.session import shared_folder
+from panelwright.sources.sinks import read_current, write_version
 
 
 def flow_folder(spark: SparkSession) -> str:
@@ -34,24 +37,52 @@ def table_arrivals(spark: SparkSession, path: str, schema, files: int = 1000) ->
     return arrivals(spark, folder, schema, name, files)
 
 
-def span(df: DataFrame, ts: str) -> str:
-    """A watermark's delay that covers all of df, so that no row is late in whatever order its files arrive."""
-    first, last = df.agg(F.min(ts).cast("timestamp").cast("long"), F.max(ts).cast("timestamp").cast("long")).first()
-    return f"{(last or 0) - (first or 0) + 1} seconds"
+def replayed(df: DataFrame, ts: str, parts: int, arrive) -> None:
+    """Deals df in parts by time and calls arrive with each, the earliest first: a table as it would have come in. Rows without a time come first."""
+    bounds = df.agg(F.percentile_approx(F.col(ts).cast("timestamp").cast("double"), [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+    at = F.col(ts).cast("timestamp").cast("double")
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        inside = F.lit(True) if low is None else at > low
+        arrive(df.where(inside if high is None else inside & F.coalesce(at <= high, F.lit(low is None))))
 
 
-def run_available(stream: DataFrame, folder: str, mode: str, each=None) -> str:
-    """Process what is there and stop; rows go to folder/rows by batch. each changes a batch before it is written."""
+def run_replayed(spark: SparkSession, df: DataFrame, ts: str, flow, mode: str, parts: int = 3, new_by: list[str] | None = None) -> str:
+    """Rows by batch of a flow over df that arrives in parts. The flow is started anew for each part and goes on from its checkpoint."""
+    folder, inbox = flow_folder(spark), flow_folder(spark)
+
+    def arrive(part: DataFrame) -> None:
+        part.coalesce(4).write.mode("append").parquet(inbox)
+        run_available(flow(arrivals(spark, inbox, df.schema)), folder, mode, new_by=new_by)
+
+    replayed(df, ts, parts, arrive)
+    return f"{folder}/rows"
+
+
+def run_available(stream: DataFrame, folder: str, mode: str, each=None, new_by: list[str] | None = None, watch=None) -> str:
+    """Process what is there and stop; rows go to folder/rows by batch. each changes a batch before it is written.
+
+    With new_by only rows are written whose keys no earlier batch has written, however long ago that was. watch gets the progress of the last batch.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         batch = each(batch) if each else batch
+        if new_by and _exists(batch.sparkSession, f"{folder}/rows"):
+            known = batch.sparkSession.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
+            batch = batch.join(known.where(F.col("batch") < number).select(*new_by), new_by, "left_anti").select(*batch.columns)
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
     flow = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     flow.awaitTermination()
+    if watch:
+        watch(flow.lastProgress)
     return f"{folder}/rows"
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def latest(spark: SparkSession, rows: str, keys: list[str]) -> DataFrame:
     """Newest batch's row of each key."""
     every = spark.read.parquet(rows)
@@ -110,6 +141,89 @@ def fill_open(log: DataFrame, outcomes: DataFrame, keys: list[str], value: str)
     return log.join(late, keys, "left").withColumn(value, F.coalesce(value, "_late")).drop("_late")
 
 
+#: Tiers from the highest to the lowest, and those whose crossing is told.
+TIERS, WATCHED = ("critical", "high", "medium", "low"), ("critical", "high")
+ALERTS = "key string, at timestamp, kind string, severity int, was string, tier string, seq long"
+
+
+def tier_alert(was: str | None, is_new: bool, tier: str) -> tuple[str, int] | None:
+    """Kind and severity of a change of tier: a new key, a move up into a watched tier or down from one; other moves tell nothing."""
+    if is_new:
+        return "new", 2 if tier in WATCHED else 1
+    if TIERS.index(tier) < TIERS.index(was) and tier in WATCHED:
+        return "tier_up", 3 if tier == TIERS[0] else 2
+    if TIERS.index(tier) > TIERS.index(was) and was in WATCHED:
+        return "tier_down", 1
+    return None
+
+
+def tier_alerts(stream: DataFrame, key: str, at: str, seq: str, tier: str, late: str, forget_days: int) -> DataFrame:
+    """Alerts of each key's changes of tier in the order of at and seq, by state of the key: its last tier and time.
+
+    A row later than late, not after the key's last one or of no known tier is dropped. A key without a row for forget_days is forgotten, which frees its state; it is new
+    when it comes again.
+    """
+    named = stream.select(F.col(key).cast("string").alias("key"), F.col(at).cast("timestamp").alias("at"), F.col(seq).cast("long").alias("seq"), F.col(tier).alias("tier")).where(F.col("tier").isin(*TIERS) & F.col("at").isNotNull())
+    forget = forget_days * 86_400_000
+
+    def follow(keys, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["at", "seq"])
+        was, last, last_seq = state.get if state.exists else (None, None, None)
+        out = []
+        for r in rows.itertuples():
+            ms = int(r.at.value // 1_000_000)
+            if last is not None and (r.at.value // 1000, r.seq) <= (last, last_seq):
+                continue
+            is_new = was is None or ms - last // 1000 > forget
+            told = tier_alert(was, is_new, r.tier)
+            if told:
+                out.append((keys[0], r.at, *told, None if is_new else was, r.tier, r.seq))
+            was, last, last_seq = r.tier, r.at.value // 1000, r.seq
+        state.update((was, last, last_seq))
+        state.setTimeoutTimestamp(max(last // 1000 + forget, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["key", "at", "kind", "severity", "was", "tier", "seq"])
+
+    watched = named.withWatermark("at", late).groupBy("key")
+    return watched.applyInPandasWithState(follow, ALERTS, "tier string, last long, seq long", "append", "EventTimeTimeout")
+
+
+def realised_stream(predictions: DataFrame, outcomes: DataFrame, keys: list[str], made: str, came: str, within: str, late: str) -> DataFrame:
+    """Each prediction with an outcome of its keys that came within a span of its making, or with null once the watermark shows that none will.
+
+    Both sides are kept only as long as the other side may still match.
+    """
+    left = predictions.withWatermark(made, late).alias("p")
+    right = outcomes.withWatermark(came, late).alias("o")
+    on = (F.col(f"o.{came}") >= F.col(f"p.{made}")) & (F.col(f"o.{came}") <= F.col(f"p.{made}") + F.expr(f"INTERVAL {within}"))
+    for k in keys:
+        on = on & (F.col(f"p.{k}") == F.col(f"o.{k}"))
+    return left.join(right, on, "left_outer").select("p.*", *[F.col(f"o.{c}") for c in outcomes.columns if c not in keys])
+
+
+def tail(spark: SparkSession, table: str, id_: str, folder: str, beat_seconds: float, now: float, keep: Column | None = None) -> tuple[DataFrame, bool]:
+    """The rows of an append table after the last ones told, in the order of id_, and whether a heartbeat is due.
+
+    What was told last is a versioned pointer under folder that moves after the rows are written, so a poll that breaks off tells the same rows again
+    under the same number. The first poll starts at the newest row. keep hides rows; hidden ones count as told.
+    """
+    place = f"{folder}/pointer"
+    state = read_current(spark, place)
+    newest = spark.read.parquet(table).agg(F.max(id_)).first()[0] or 0
+    if state is None:
+        write_version(spark.createDataFrame([(newest, now)], "last long, beat double"), place)
+        return spark.read.parquet(table).limit(0), True
+    last, beat = state.first()
+    rows = spark.read.parquet(table).where((F.col(id_) > last) & (F.col(id_) <= newest))
+    told = rows.where(keep) if keep is not None else rows
+    told.write.mode("overwrite").parquet(f"{folder}/told/after={last}")
+    due = now - beat >= beat_seconds
+    write_version(spark.createDataFrame([(max(newest, last), now if due else beat)], "last long, beat double"), place)
+    return spark.read.schema(rows.schema).parquet(f"{folder}/told/after={last}").orderBy(id_), due
+
+
 def new_files(files: DataFrame, done: DataFrame) -> DataFrame:
     """Files (path, sha256, code_version) not processed yet with this content and version, one path for each, oldest
     first."""
