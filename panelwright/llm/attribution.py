@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -30,21 +31,24 @@ from panelwright.llm.common import let, text_udf
 RULES = ("first", "last", "most", "share")
 
 
-@lru_cache(maxsize=2)
 def _encoding(path: str, pattern: str):
+    return _encoding_of(Path(path).read_bytes(), pattern)
+
+
+@lru_cache(maxsize=2)
+def _encoding_of(rank_file: bytes, pattern: str):
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line.strip())}
     lengths = np.zeros(max(ranks.values()) + 1, np.int64)
     for data, rank in ranks.items():
         lengths[rank] = len(data)
     return tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
-def token_spans(text: str, path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+def token_spans(text: str, rank_file: bytes, pattern: str) -> tuple[np.ndarray, np.ndarray]:
     """Start and end, in code points, of the text's tokens."""
-    encoding, lengths = _encoding(path, pattern)
+    encoding, lengths = _encoding_of(rank_file, pattern)
     ids = np.asarray(encoding.encode_ordinary(text), np.int64)
     ends = np.cumsum(lengths[ids])
     data = np.frombuffer(text.encode(), np.uint8)
@@ -83,15 +87,17 @@ def line_sizes(text: Column) -> Column:
 
 
 def counter(path: str, pattern: str, rule: str = "first"):
-    """A UDF (text, section sizes) -> struct of the token total, crossings and counts."""
+    """A UDF (text, section sizes) -> struct of the token total, crossings and counts. The rank file, under 1 MB, goes with the code: executors
+    need no copy of it."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {', '.join(RULES)}")
+    rank_file = Path(path).read_bytes()
 
     def prepare():
         def count(text: str | None, sizes: list[int] | None) -> dict:
             if not text or not sizes:
                 return {"n_tokens": 0, "n_crossing": 0, "counts": [0.0] * len(sizes or [])}
-            a, b = token_spans(text, path, pattern)
+            a, b = token_spans(text, rank_file, pattern)
             e = np.cumsum(np.asarray(sizes, np.int64))
             crossing = int((np.searchsorted(e, a, "right") != np.searchsorted(e, b - 1, "right")).sum())
             return {"n_tokens": len(a), "n_crossing": crossing, "counts": attribute(a, b, e, rule)}
