@@ -1,7 +1,7 @@
 """Quality classifier by co-training two views of a document (operator 2).
 
-The content view has the shapes of the text's words (runs of lower and upper case, digits and other characters), how
-often words and lines repeat, and shares of character classes. The metadata view has what is known without reading:
+The content view has the words of the text, hashed and in lower case, their shapes (runs of lower and upper case, digits and other
+characters), how often words and lines repeat, and shares of character classes. The metadata view has what is known without reading:
 source, language, length, and the layout in lines. Each view is a logistic regression. In each of ``rounds`` both views
 are fitted and calibrated and score the whole pool, which is every document outside the labelled sample; each then hands
 the other ``grow`` documents it is sure of, in the classes' proportions. Among the sure ones those with the lowest hash
@@ -10,7 +10,7 @@ on labelled rows that trained neither, and a document's score, the chance that i
 of the calibrated views fitted on those rows.
 
 Features are computed on executors and written once. What the driver collects is bounded by parameters: the features
-(about 1 kB each) of ``n_labelled`` labelled documents, those with the lowest hashes of their ids, and of at most 2 x
+(about 3 kB each) of ``n_labelled`` labelled documents, those with the lowest hashes of their ids, and of at most 2 x
 ``grow`` a round. A round is one pass over the features; all that is shuffled is the hashes of sure documents.
 Scoring is one pass over the texts without a shuffle.
 
@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.common import cut, stored, text_udf
 
-#: Buckets of word shapes, sources and languages.
-SHAPES, SOURCES, LANGUAGES = 192, 48, 16
+#: Buckets of word shapes, words, sources and languages.
+SHAPES, WORDS, SOURCES, LANGUAGES = 192, 512, 48, 16
 #: Words that a task keeps with their buckets, and the longest of them.
 CACHED, CACHED_CHARS = 100_000, 32
 #: Numbers of the content view's features and the metadata view's.
-CONTENT, METADATA = SHAPES + 6, SOURCES + LANGUAGES + 4
+CONTENT, METADATA = SHAPES + 6 + WORDS, SOURCES + LANGUAGES + 4
 
 
 def shape(word: str) -> str:
@@ -49,9 +49,12 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
-class ShapeBuckets(dict):
+class WordBuckets(dict):
+    """Of a word, the bucket of its shape and that of the word as one number."""
+
     def __missing__(self, word: str) -> int:
-        value = zlib.crc32(shape(word).encode("utf-8", "surrogatepass")) % SHAPES
+        hashed = lambda s: zlib.crc32(s.encode("utf-8", "surrogatepass"))
+        value = hashed(shape(word)) % SHAPES * WORDS + hashed(word.lower().strip(".,;:!?\"'()")) % WORDS
         if len(word) <= CACHED_CHARS:
             if len(self) > CACHED:
                 self.clear()
@@ -59,14 +62,16 @@ class ShapeBuckets(dict):
         return value
 
 
-def content_features(text: str | None, buckets: ShapeBuckets | None = None) -> np.ndarray:
-    text, buckets = text or "", ShapeBuckets() if buckets is None else buckets
+def content_features(text: str | None, buckets: WordBuckets | None = None) -> np.ndarray:
+    text, buckets = text or "", WordBuckets() if buckets is None else buckets
     words = text.split()
     out = np.zeros(CONTENT, np.float32)
     if not words:
         return out
     n = len(words)
-    out[:SHAPES] = np.sqrt(np.bincount(np.fromiter(map(buckets.__getitem__, words), np.int64, n), minlength=SHAPES) / n)
+    both = np.fromiter(map(buckets.__getitem__, words), np.int64, n)
+    out[:SHAPES] = np.sqrt(np.bincount(both // WORDS, minlength=SHAPES) / n)
+    out[SHAPES + 6 :] = np.sqrt(np.bincount(both % WORDS, minlength=WORDS) / n)
     lines = [x for x in text.split("\n") if x]
     out[SHAPES] = 1 - len(set(words)) / n
     out[SHAPES + 1] = 1 - len(set(lines)) / max(1, len(lines))
@@ -168,7 +173,7 @@ def packed(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, h (a hash of all that is read of the document) and x, both views' features."""
 
     def prepare():
-        buckets = ShapeBuckets()
+        buckets = WordBuckets()
         one = lambda t, *m: np.concatenate([content_features(t, buckets), metadata_features(*m)]).tobytes()
         return lambda *columns: [one(*row) for row in zip(*columns, strict=True)]
 
@@ -209,13 +214,22 @@ def sure_rows(pool: DataFrame, model: CoModel, sure: float, most: dict[tuple[int
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, n_labelled: int = 3000, text: str = "text", seed: int = 2, rounds: int = 4, grow: int = 250, sure: float = 0.95, penalty: float = 1.0) -> CoModel:
-    """The model from docs (doc_id, text, source, lang, n_chars) and labels (doc_id, quality 0 or 1)."""
+def features(docs: DataFrame, text: str = "text") -> DataFrame:
+    """packed() of docs, written once: what train() learns from and score_features() scores."""
+    return stored(packed(docs, text))
+
+
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", **options) -> CoModel:
+    """The model from docs (doc_id, text, source, lang, n_chars) and labels (doc_id, quality 0 or 1); options as train_on() has them."""
+    return train_on(features(docs, text), labels, **options)
+
+
+def train_on(every: DataFrame, labels: DataFrame, n_labelled: int = 3000, seed: int = 2, rounds: int = 4, grow: int = 250, sure: float = 0.95, penalty: float = 1.0) -> CoModel:
+    """The model from the features of documents."""
     chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
     below = int(min(1.0, n_labelled / max(1, known.count())) * (1 << 30))
     chosen = known.where(chance < below).select("doc_id", "quality", (chance % 3 == 0).alias("held"))
-    every = stored(packed(docs, text))
     rows = every.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "held", "x").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["quality"], bytes(r["x"])))
     y = np.array([float(r["quality"] > 0) for r in rows])
@@ -234,11 +248,21 @@ def train(docs: DataFrame, labels: DataFrame, n_labelled: int = 3000, text: str
     return learner.fitted()
 
 
+def score_features(every: DataFrame, model: CoModel, threshold: float = 0.5) -> DataFrame:
+    """doc_id, p_content, p_metadata, score and kept of the documents of features(), without reading their texts again."""
+
+    def prepare():
+        return lambda rows: [dict(zip(("p_content", "p_metadata", "score"), map(float, p), strict=True)) for p in zip(*model.scores(*split(rows)), strict=True)]
+
+    found = every.select("doc_id", text_udf("struct<p_content:double,p_metadata:double,score:double>", prepare)("x").alias("p"))
+    return found.select("doc_id", "p.*", (F.col("p.score") >= threshold).alias("kept"))
+
+
 def chances(docs: DataFrame, model: CoModel, text: str = "text") -> Column:
     """A struct of p_content, p_metadata and score for each row of docs."""
 
     def prepare():
-        buckets = ShapeBuckets()
+        buckets = WordBuckets()
 
         def scored(texts, *others):
             content = np.array([content_features(t, buckets) for t in texts]).reshape(-1, CONTENT)

@@ -42,8 +42,8 @@ FROM t
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chance that each document is good, by both views and combined, and the verdict."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
-    model = cotraining.train(docs, table(spark, sf_dir, "labels"))
-    return cotraining.classify(docs, model).select("doc_id", "p_content", "p_metadata", "score", "kept")
+    every = cotraining.features(docs)
+    return cotraining.score_features(every, cotraining.train_on(every, table(spark, sf_dir, "labels")))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
