@@ -26,4 +26,4 @@ def region_scan(spark, sf_dir):
     return read(spark, sf_dir, "region").select("r_regionkey", "r_name")
 
 
-from panelwright.plans import aggregation, bundles, derived, evidence, identities, joining, landing, learning, measures, panel, quality, retrieval, serving, streams, textual, windowed  # noqa: E402, F401
+from panelwright.plans import aggregation, bundles, derived, evidence, identities, joining, landing, learning, measures, panel, quality, retrieval, searching, serving, streams, tagging, textual, windowed  # noqa: E402, F401
