@@ -73,7 +73,7 @@ def text_completed_labels(spark, sf_dir):
 @query(
     "text_last_dates",
     """WITH t AS (SELECT o_orderkey, o_orderdate AS d, max(l_shipdate) AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate)
-    SELECT o_orderkey, CASE WHEN s <= TIMESTAMP '1997-06-30' THEN CAST(greatest(s, d) AS DATE) WHEN d <= TIMESTAMP '1997-06-30' THEN CAST(d AS DATE) END AS last FROM t""",
+    SELECT o_orderkey, CAST(greatest(CASE WHEN s <= TIMESTAMP '1997-06-30' THEN s END, CASE WHEN d <= TIMESTAMP '1997-06-30' THEN d END) AS DATE) AS last FROM t""",
 )
 def text_last_dates(spark, sf_dir):
     """The last date up to a day in a cell that names the order's and the shipment's in two forms, and one that does not exist."""
