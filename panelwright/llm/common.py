@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from panelwright.sources.scratch import removed, saved, stored
 from panelwright.sources.session import shared_folder, ship
 
+__all__ = ["SPACE", "cut", "let", "removed", "saved", "steps", "stored", "table", "text_udf", "words"]
+
 #: White space that separates words: space, tab, newline, vertical tab, form feed, return.
 SPACE = "\\x20\\x09-\\x0D"
 #: Most texts that a Python worker holds as objects at a time, and their bytes (a longer text goes alone).
@@ -31,33 +33,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _folder(spark: SparkSession, path: str):
-    """The file system of a folder and its path there."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
-
-
-def saved(df: DataFrame) -> str:
-    """The folder, among the shared ones, where df is written as parquet; gone when the session ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    files, place = _folder(spark, path)
-    files.deleteOnExit(place)
-    return path
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Removes a folder that saved() has made and nothing reads any more."""
-    files, place = _folder(spark, path)
-    files.delete(place, True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df, written once as parquet in the shared folder; gone when the session ends."""
-    return df.sparkSession.read.parquet(saved(df))
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: a lambda variable is not inlined into each use."""
     return F.element_at(F.transform(F.array(value), body), 1)
