@@ -42,7 +42,7 @@ def printed_rows(spark, sf_dir):
         F.regexp_replace(F.lower("c_name"), "[^a-z0-9]", "").alias("name"),
         F.regexp_replace(F.lower("c_name"), "[^a-z0-9]+", " ").alias("name_words"),
         F.col("c_mktsegment").alias("sector"),
-        F.when(F.col("o_clerk").substr(-1, 1).isin("0", "1"), F.col("o_clerk").substr(-1, 1)).alias("agency"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("agency"),
         F.col("o_totalprice").cast("double").alias("cost"),
     )
     urgent = all_.where("o_orderpriority = '1-URGENT'")
