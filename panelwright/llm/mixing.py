@@ -93,7 +93,7 @@ def slim_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
 
 
 def repeat(rows: DataFrame, sources: DataFrame, max_epochs: float = 2.0) -> DataFrame:
-    """rows (source_key, draw and more) with source_size, target and repeats."""
+    """rows (source_key, draw and more) with source_size, target and repeats. Of a fractional max_epochs, targets use all, but no document is repeated more often than its whole part."""
     repeats = F.least(F.col("whole") + (F.col("draw") <= F.col("last")).cast("long"), F.lit(int(max_epochs)).cast("long"))
     return rows.join(_small(sources), "source_key").withColumn("repeats", repeats).drop("whole", "last")
 
