@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.functions.dates import partial_date
+
 #: Characters around a word: neither letters nor digits.
 EDGE = r"[^\p{L}\p{N}_]"
 #: Openings of remarks that are printed for every row, words of an open interval, and honorifics.
@@ -82,3 +86,47 @@ def completed(labels: DataFrame, clips: DataFrame, label_column: str, clip_colum
     cuts = begun.select("_l", F.explode(F.transform(F.sequence(F.lit(least), F.length("_l")), lambda n: F.substring("_l", F.lit(1), n))).alias("_c"))
     whole = cuts.groupBy("_c").agg(F.min("_l").alias("_f"), F.count("*").alias("_n"))
     return clips.join(whole, F.col(clip_column) == F.col("_c"), "left").withColumn("label", F.when(F.col("_n") == 1, F.col("_f"))).drop("_c", "_f", "_n")
+
+
+def banded(number: Column, bands: tuple[tuple[float, str], ...], rest: str) -> Column:
+    """The word of the first band whose upper end is above a number (bands ascend), rest above them all; null for null."""
+    word = F.lit(rest)
+    for upper, name in reversed(bands):
+        word = F.when(number < upper, F.lit(name)).otherwise(word)
+    return F.when(number.isNotNull(), word)
+
+
+def reworded(text: Column, policy: list[tuple[str, Callable[[Column], Column]]], dropped: tuple[str, ...] = ()) -> Column:
+    """text with what each pattern of a policy finds replaced by the word that its rule makes of the pattern's first group, in the policy's order; what the
+    dropped patterns find goes. A null text stays null, and a match for which the rule gives null goes too.
+
+    Regular expressions cannot compute a replacement, so a text is cut at the matches and joined again with the words between; all in
+    array functions. Patterns must not match an empty string.
+    """
+    def step(pattern: str, rule: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        def apply(t: Column) -> Column:
+            found = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), lambda x: F.coalesce(rule(x), F.lit("")))
+            return F.array_join(F.zip_with(F.split(t, pattern, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+        return apply
+
+    out = text
+    for pattern, rule in policy:
+        out = F.get(F.transform(F.array(out), step(pattern, rule)), F.lit(0))  # names the text, which a step reads twice
+    for pattern in dropped:
+        out = F.regexp_replace(out, pattern, "")
+    return out
+
+
+def dated_fact(published: Column, event: Column, asof: Column, live_months: int) -> Column:
+    """Struct event_date, precision, stands_in and live of a report: an event told as YYYY, YYYY-MM or YYYY-MM-DD and the day it was published.
+
+    An event after its publication is a plan, not an event: then, and where it cannot be read, the day of publication stands in. A fact is
+    live if its date is at most live_months before asof and not after it; without any date it is not.
+    """
+    told = partial_date(event)
+    bad = told.isNull() | F.coalesce(told["date"] > published.cast("date"), F.lit(False))
+    date = F.when(~bad, told["date"])
+    at = F.coalesce(date, published.cast("date"))
+    live = (at > F.add_months(asof.cast("date"), -live_months)) & (at <= asof.cast("date"))
+    return F.struct(date.alias("event_date"), F.when(~bad, told["precision"]).alias("precision"), (bad & published.isNotNull()).alias("stands_in"), F.coalesce(live, F.lit(False)).alias("live"))

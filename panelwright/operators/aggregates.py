@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.operators import ordering
+
 
 def last_valid(value: str, order: Column) -> Column:
     """Non-null value of the row that is last in order."""
@@ -89,10 +91,22 @@ def mantel_haenszel(df: DataFrame, strata: list[str], flag: str, y: str) -> Data
 
 
 def holm(df: DataFrame, p: str, key: str) -> DataFrame:
-    """df with Holm step-down p values; one family, so as many rows as tests."""
-    w = Window.orderBy(p, key)
-    adjusted = F.col(p) * (F.count("*").over(Window.partitionBy()) - F.row_number().over(w) + 1)
-    return df.withColumn("_a", adjusted).withColumn("p_holm", F.least(F.lit(1.0), F.max("_a").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("_a")
+    """df with Holm step-down p values, in ranges of p; a null p has no adjusted value of its own but counts as a test."""
+    n = df.count()
+    placed = ordering.numbered(ordering.in_ranges(df, p, key), [p, key], "_place")
+    adjusted = placed.withColumn("_a", F.col(p) * (n - F.col("_place") + 1))
+    most = ordering.running(adjusted, [p, key], most={"_most": F.col("_a")})
+    return most.withColumn("p_holm", F.least(F.lit(1.0), F.col("_most"))).drop("_a", "_most", "_place", ordering.RANGE)
+
+
+def weighted_precision(df: DataFrame, score: str, label: Column, weight: Column) -> DataFrame:
+    """Weighted average precision, ap: the precision at each score's rows and those above, over the positives' weight. Rows of equal score
+    count together, those without a score not at all; null without a positive."""
+    known = df.where(F.col(score).isNotNull())
+    by = known.groupBy(F.col(score).alias("s")).agg(F.sum(weight * label.cast("int")).alias("p"), F.sum(weight).alias("n"))
+    down = F.desc("s")
+    upto = ordering.running(ordering.in_ranges(by, down), [down], {"cp": F.col("p"), "cn": F.col("n")})
+    return upto.agg(F.try_divide(F.sum(F.try_divide(F.col("p") * F.col("cp"), F.col("cn"))), F.sum("p")).alias("ap"))
 
 
 def reconcile(parts: DataFrame, totals: DataFrame, keys: list[str], value: str, tolerance: float = 0.005) -> DataFrame:

@@ -85,3 +85,15 @@ def diff(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) ->
     changed = reduce(lambda x, y: x | y, [~F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}")) for c in columns])
     change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(changed, "changed")
     return both.withColumn("change", change).where(F.col("change").isNotNull()).drop("_a", "_b")
+
+
+def newest_pull(base: DataFrame, pulls: DataFrame, group: str, pull: str, keys: list[str], order: list[str]) -> DataFrame:
+    """base with every group that a pull has replaced, whole, by its newest pull; then of each key only the first row, pulls before base.
+
+    Rows of base keep a null group. Groups are compared by equality; a pull's row without a group is a group of its own and replaces nothing. Columns
+    that base lacks are null there; the pull column is dropped.
+    """
+    newest = pulls.groupBy(group).agg(F.max(pull).alias("_newest")).withColumnRenamed(group, "_g")
+    fresh = pulls.join(newest, pulls[group].eqNullSafe(F.col("_g")) & (pulls[pull] == F.col("_newest"))).drop("_g", "_newest", pull)
+    kept = base.join(newest.select(F.col("_g").alias(group)).where(F.col(group).isNotNull()), group, "left_anti").drop(pull)
+    return priority_union([fresh, kept], keys, order)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.dates import quarter_index
-from panelwright.operators import scores
+from panelwright.operators import aggregates, scores
 from panelwright.plans.panel import PANEL_SQL, panel
 from panelwright.plans.registry import query
 from panelwright.sources.tables import read
@@ -112,11 +112,8 @@ def agg_clusters_coarser(spark, sf_dir):
 )
 def agg_weighted_precision(spark, sf_dir):
     """Weighted average precision; rows of equal score count together."""
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("s"), (F.col("l_returnflag") == "R").cast("int").alias("y"), F.col("l_quantity").alias("w"))
-    by_score = rows.groupBy("s").agg(F.sum(F.col("w") * F.col("y")).alias("p"), F.sum("w").alias("n"))
-    w = Window.orderBy(F.desc("s"))
-    upto = by_score.select("p", F.sum("p").over(w).alias("cp"), F.sum("n").over(w).alias("cn"))
-    return upto.agg(F.round(F.sum(F.col("p") * F.col("cp") / F.col("cn")) / F.sum("p"), 9).alias("ap"))
+    ap = aggregates.weighted_precision(read(spark, sf_dir, "lineitem"), "l_discount", F.col("l_returnflag") == "R", F.col("l_quantity"))
+    return ap.select(F.round("ap", 9).alias("ap"))
 
 
 _FOLDS = "f AS (SELECT year(l_shipdate) AS fold, l_linestatus AS model, avg(pow(l_discount * 10 - CAST(l_returnflag = 'R' AS INTEGER), 2)) AS brier FROM lineitem GROUP BY 1, 2)"
@@ -511,23 +508,26 @@ def serve_spans(spark, sf_dir):
 
 @query(
     "serve_bundle",
-    "SELECT 'customer' AS part, CAST(c_custkey AS BIGINT) AS k, CAST(to_json({'name': c_name}) AS VARCHAR) AS row FROM customer WHERE c_custkey = 7 UNION ALL SELECT 'orders', o_custkey, CAST(to_json({'order': o_orderkey, 'status': o_orderstatus}) AS VARCHAR) FROM orders WHERE o_custkey = 7",
+    "SELECT 'customer' AS part, CAST(c_custkey AS BIGINT) AS k, CAST(to_json({'name': c_name}) AS VARCHAR) AS row FROM customer UNION ALL SELECT 'orders', o_custkey, CAST(to_json({'order': o_orderkey, 'status': o_orderstatus}) AS VARCHAR) FROM orders",
 )
-def serve_bundle(spark, sf_dir):
-    """Every table's rows of one key; a table that is missing adds none."""
+def serve_bundle(spark, sf_dir, key=None):
+    """Every table's rows of one key, or of all; a table that is missing adds none."""
     from panelwright.sources.readers import optional
 
     parts = [
-        read(spark, sf_dir, "customer").where("c_custkey = 7").select(F.lit("customer").alias("part"), F.col("c_custkey").alias("k"), F.to_json(F.struct(F.col("c_name").alias("name"))).alias("row")),
-        read(spark, sf_dir, "orders").where("o_custkey = 7").select(F.lit("orders").alias("part"), F.col("o_custkey").alias("k"), F.to_json(F.struct(F.col("o_orderkey").alias("order"), F.col("o_orderstatus").alias("status"))).alias("row")),
-        optional(spark, f"{sf_dir}/alerts.parquet", "part string, k long, row string").where("k = 7"),
+        read(spark, sf_dir, "customer").select(F.lit("customer").alias("part"), F.col("c_custkey").alias("k"), F.to_json(F.struct(F.col("c_name").alias("name"))).alias("row")),
+        read(spark, sf_dir, "orders").select(F.lit("orders").alias("part"), F.col("o_custkey").alias("k"), F.to_json(F.struct(F.col("o_orderkey").alias("order"), F.col("o_orderstatus").alias("status"))).alias("row")),
+        optional(spark, f"{sf_dir}/alerts.parquet", "part string, k long, row string"),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every if key is None else every.where(F.col("k") == key)
 
 
-@query("serve_timeline", f"WITH {PANEL_SQL} SELECT q, x, n FROM panel WHERE k = 7 ORDER BY q")
-def serve_timeline(spark, sf_dir):
-    return panel(spark, sf_dir).where("k = 7").select("q", "x", "n").orderBy("q")
+@query("serve_timeline", f"WITH {PANEL_SQL} SELECT k, q, x, n FROM panel")
+def serve_timeline(spark, sf_dir, key=None):
+    """The quarters of one key in order, or of all keys."""
+    rows = panel(spark, sf_dir).select("k", "q", "x", "n")
+    return rows if key is None else rows.where(F.col("k") == key).orderBy("q")
 
 
 @query("serve_in_tier", "SELECT c_custkey, c_acctbal FROM (SELECT *, ntile(4) OVER (ORDER BY c_acctbal DESC, c_custkey) AS t FROM customer) WHERE t = 1 ORDER BY c_acctbal DESC, c_custkey LIMIT 20")
@@ -667,9 +667,14 @@ def rag_chunks(spark, sf_dir):
     return rows.groupBy("conv_id", "chunk").agg(F.count("*").alias("parts"), F.sum("n").alias("chars"))
 
 
-@query("rag_changed_chunks", "SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN 'new' ELSE 'reused' END AS state FROM conversations")
+@query(
+    "rag_changed_chunks",
+    "WITH s AS (SELECT DISTINCT md5(text) AS h FROM conversations WHERE conv_id % 5 > 0 AND text IS NOT NULL) SELECT conv_id, turn, CASE WHEN h IS NULL THEN 'new' ELSE 'reused' END AS state FROM conversations LEFT JOIN s ON md5(text) = h",
+)
 def rag_changed_chunks(spark, sf_dir):
-    """Chunks whose content hash the last index has keep their vectors; the rest are to be embedded."""
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.concat_ws("|", "conv_id", "turn", "text"), 256).alias("hash"))
-    before = rows.where("conv_id % 5 > 0").select("hash", F.lit("reused").alias("state")).distinct()
-    return rows.join(before, "hash", "left").select("conv_id", "turn", F.coalesce("state", F.lit("new")).alias("state"))
+    """Chunks whose content the saved index (of four in five conversations) has keep their vectors, wherever they stand; the rest, and nulls, are to be embedded."""
+    from panelwright.sources.scratch import stored
+
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("hash"))
+    index = stored(rows.where("conv_id % 5 > 0 AND hash IS NOT NULL").select("hash", F.lit("reused").alias("state")).distinct())
+    return rows.join(index, "hash", "left").select("conv_id", "turn", F.coalesce("state", F.lit("new")).alias("state"))

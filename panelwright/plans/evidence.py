@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.functions.scalars import ratio
 from panelwright.plans.panel import PANEL_SQL, panel
 from panelwright.plans.registry import query
+from panelwright.sources import scratch, sinks
 from panelwright.sources.tables import read
 
 
@@ -94,8 +95,10 @@ def serve_evidence_pack(spark, sf_dir):
 def set_daily_snapshot(spark, sf_dir):
     """One snapshot a day and state: a day that is there stays, others come in."""
     rows = read(spark, sf_dir, "events").select(F.to_date("ts").alias("d"), F.col("event_type").alias("state"), (F.col("event_id") % 3 == 0).alias("here"))
-    there, pulled = (rows.where(c).groupBy("d", "state").agg(F.count("*").alias("n")) for c in ("here", "NOT here"))
-    return there.withColumn("status", F.lit("kept")).unionByName(pulled.join(there, ["d", "state"], "left_anti").withColumn("status", F.lit("new")))
+    table = scratch.place(spark)
+    sinks.insert_once(rows.where("here").groupBy("d", "state").agg(F.count("*").alias("n"), F.lit("kept").alias("status")), table, ["d", "state"])
+    sinks.insert_once(rows.groupBy("d", "state").agg(F.count_if(~F.col("here")).alias("n"), F.lit("new").alias("status")).where("n > 0"), table, ["d", "state"])
+    return spark.read.parquet(table)
 
 
 @query(
@@ -238,7 +241,9 @@ def text_grounded(spark, sf_dir):
 def src_registered(spark, sf_dir):
     """Sources by the hash of their content, the first id that brought it, how often it came and its rows."""
     rows = read(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.sha2("text", 256).alias("sha"), "doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n"))
-    return rows.groupBy("sha").agg(F.min("doc_id").alias("source_id"), F.count("*").alias("runs"), F.max("n").alias("n_rows"))
+    registered, runs = scratch.place(spark), rows.groupBy("sha").agg(F.min("doc_id").alias("source_id"), F.count("*").alias("runs"), F.max("n").alias("n_rows"))
+    sinks.insert_once(runs.select("sha", "source_id", "n_rows"), registered, ["sha"])
+    return spark.read.parquet(registered).join(runs.select("sha", "runs"), "sha").select("sha", "source_id", "runs", "n_rows")
 
 
 @query(
@@ -250,5 +255,7 @@ def sink_timeline(spark, sf_dir):
     """History loaded for known keys: a (key, day) that is there stays, the first of new ones comes in."""
     keys = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
     t = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("d"), F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("v")).join(keys, "k")
-    first = t.groupBy("k", "d").agg(F.min(F.struct((F.col("i") % 4 != 0).alias("new"), "i", "v")).alias("f"))
-    return first.select("k", "d", "f.i", "f.v")
+    table = scratch.place(spark)
+    sinks.insert_once(t.where("i % 4 = 0"), table, ["k", "d"])
+    sinks.insert_once(t.where("i % 4 > 0"), table, ["k", "d"])
+    return spark.read.parquet(table)

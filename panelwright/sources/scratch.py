@@ -16,13 +16,21 @@ def _folder(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def place(spark: SparkSession) -> str:
+    """A path of its own among the shared ones, where nothing is yet; gone when the session ends."""
+    files, folder = _folder(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{folder.toString()}/table"
+
+
 def saved(df: DataFrame) -> str:
     """The folder, among the shared ones, where df is written as parquet; gone when the session ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    files, place = _folder(spark, path)
-    files.deleteOnExit(place)
+    files, folder = _folder(spark, path)
+    files.deleteOnExit(folder)
     return path
 
 
