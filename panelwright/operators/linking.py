@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.rules import EDGE
+from panelwright.operators import ordering
+from panelwright.sources.scratch import stored
 
-#: Rows of a posting list (a word, an entity and its few anchors) up to which it is broadcast.
+#: Rows of the entities' tables (postings, anchors) up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 
 
@@ -53,10 +55,16 @@ def _anchors(text: Column, rules: Rules) -> Column:
     """What a text offers as anchors: codes, kinds of object, and its words of up to eight letters as they are spelt."""
     kinds = [F.when(_named(text, o), F.lit(f"object:{o}")) for o in rules.objects if o not in rules.generic]
     objects = F.array_compact(F.array(*kinds)) if kinds else F.array().cast("array<string>")
-    short = F.filter(F.split(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9_]+"), lambda w: w.rlike("^[A-Za-z]{2,8}$"))
+    short = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?<![A-Za-z0-9_])[A-Za-z]{2,8}(?![A-Za-z0-9_])"), F.lit(0))
     return F.concat(_codes(text, rules), objects, F.transform(F.array_distinct(short), lambda w: F.concat(F.lit("short:"), w)))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, written once, and to be broadcast if it has few rows."""
+    df = stored(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def profiles(entities: DataFrame, key: str, name: str, state: str, short: str, rules: Rules) -> DataFrame:
     """entity, name, places (distinctive words in name order), codes, object (the first kind named), short and state of each entity.
 
@@ -83,19 +91,23 @@ def link(texts: DataFrame, key: str, text: str, known: DataFrame, rules: Rules)
     rows = texts.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     own = [F.when(F.col("short").isNotNull(), F.concat(F.lit("short:"), F.col("short")))]
     own += [F.when(F.col("object").isNotNull() & ~F.col("object").isin(*rules.generic), F.concat(F.lit("object:"), F.col("object")))] if rules.objects else []
-    postings = known.select("entity", F.concat("codes", F.array_compact(F.array(*own))).alias("theirs"), F.explode("places").alias("word"))
-    few = postings.count() <= BROADCAST_ROWS
-    met = rows.select("_k", F.explode(words(F.col("_t"))).alias("word")).join(F.broadcast(postings) if few else postings, "word")
-    pairs = met.groupBy("_k", "entity").agg(F.count_distinct("word").alias("shared"), F.first("theirs").alias("theirs"))
-    offered = rows.groupBy("_k").agg(F.array_distinct(F.flatten(F.collect_set(_anchors(F.col("_t"), rules)))).alias("offered"))
-    scored = pairs.join(offered, pairs["_k"].eqNullSafe(offered["_k"])).drop(offered["_k"])
-    score = F.least(F.lit(1.0), F.col("shared") / 2) / 2 + F.when(F.arrays_overlap("theirs", "offered"), 0.5).otherwise(0.0)
+    entities = stored(known.select("entity", F.concat("codes", F.array_compact(F.array(*own))).alias("theirs"), "places"))
+    postings = entities.select("entity", F.explode("places").alias("word"))
+    # A place in the order of the words instead of the word: two words are shared if the least and the largest place differ.
+    named = ordering.numbered(ordering.in_ranges(postings.select("word").distinct(), "word"), ["word"], "w").select("word", F.col("w").cast("int").alias("w"))
+    met = rows.select("_k", F.explode(words(F.col("_t"))).alias("word")).join(_small(postings.join(named, "word")), "word").select("_k", "entity", "w")
+    # A text's rows meet once: pairs, anchors and the best two are all by key.
+    pairs = met.repartition("_k").groupBy("_k", "entity").agg((F.min("w") != F.max("w")).alias("several"))
+    offered = rows.select("_k", F.explode(_anchors(F.col("_t"), rules)).alias("a")).join(_small(entities.select(F.explode("theirs").alias("a")).distinct()), "a")
+    offered = offered.groupBy(F.col("_k").alias("_o")).agg(F.collect_set("a").alias("offered"))
+    scored = pairs.join(offered, F.col("_k").eqNullSafe(F.col("_o")), "left").join(_small(entities.select("entity", "theirs")), "entity")
+    anchored = F.coalesce(F.arrays_overlap("theirs", "offered"), F.lit(False))
+    score = F.when(F.col("several"), 0.5).otherwise(0.25) + F.when(anchored, 0.5).otherwise(0.0)
     w = Window.partitionBy("_k").orderBy(F.desc("score"), F.desc("entity"))
-    top = scored.withColumn("score", score).withColumn("second", F.lead("score").over(w)).withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    outcome = F.when(F.coalesce(F.col("score"), F.lit(0.0)) < rules.least, "none").when(F.col("second") >= F.col("score") - rules.margin, "ambiguous").otherwise("linked")
-    told = top.select(F.col("_k").alias("_o"), F.when(outcome == "linked", F.col("entity")).alias("entity"), F.col("score"), outcome.alias("outcome"))
-    keys = rows.select("_k").distinct()
-    out = keys.join(told, F.col("_k").eqNullSafe(F.col("_o")), "left")
+    top = scored.select("_k", "entity", score.alias("score")).withColumn("second", F.lead("score").over(w)).withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    outcome = F.when(F.col("score") < rules.least, "none").when(F.col("second") >= F.col("score") - rules.margin, "ambiguous").otherwise("linked")
+    told = top.select(F.col("_k").alias("_o"), F.when(outcome == "linked", F.col("entity")).alias("entity"), "score", outcome.alias("outcome"))
+    out = rows.select("_k").distinct().join(told, F.col("_k").eqNullSafe(F.col("_o")), "left")
     return out.select(F.col("_k").alias(key), "entity", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("outcome", F.lit("none")).alias("outcome"))
 
 
