@@ -26,4 +26,4 @@ def region_scan(spark, sf_dir):
     return read(spark, sf_dir, "region").select("r_regionkey", "r_name")
 
 
-from panelwright.plans import aggregation, bundled, bundles, derived, evidence, identities, joining, landing, learning, linked, matrix, measures, panel, quality, retrieval, ruled, searching, serving, streams, tagging, textual, windowed  # noqa: E402, F401
+from panelwright.plans import aggregation, bundled, bundles, derived, evidence, identities, joining, labelled, landing, learning, linked, matrix, measures, panel, quality, retrieval, ruled, searching, serving, streams, tagging, textual, windowed  # noqa: E402, F401

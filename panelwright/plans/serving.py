@@ -19,7 +19,7 @@ def current(spark, sf_dir):
         F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.max("o_orderdate").alias("last_order"), F.count_if(F.col("o_orderstatus") == "O").alias("n_open")
     )
     places = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return read(spark, sf_dir, "customer").join(orders, "c_custkey", "left").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return read(spark, sf_dir, "customer").join(orders, "c_custkey", "left").join(places, F.col("c_nationkey") == F.col("n_nationkey"), "left")
 
 
 CURRENT_SQL = """cur AS (SELECT c.*, o.*, n_name, n_regionkey, r_name FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total, max(o_orderdate) AS last_order, count(*) FILTER (WHERE o_orderstatus = 'O') AS n_open FROM orders GROUP BY 1) o ON o_custkey = c_custkey

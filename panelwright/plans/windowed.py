@@ -104,7 +104,7 @@ def win_rate_limit(spark, sf_dir):
 def win_group_median(spark, sf_dir):
     orders = read(spark, sf_dir, "orders")
     middle = orders.groupBy("o_orderpriority").agg(F.percentile("o_totalprice", 0.5).alias("middle"))
-    return orders.join(F.broadcast(middle), "o_orderpriority").select("o_orderkey", "middle")
+    return orders.join(middle, "o_orderpriority").select("o_orderkey", "middle")
 
 
 @query(
