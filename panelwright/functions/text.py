@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Unicode's space separators, which trim() takes off in SQL; the white space of a pattern there (no vertical tab).
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+BLANK = r"[\t\n\f\r ]"
+
+
+def trimmed(text: Column) -> Column:
+    """text without space separators at its ends. As a function of higher order needs one argument: F.trim has two, and would get the place."""
+    return F.trim(text, F.lit(SPACES))
+
 
 def normalise_name(name: Column, abbreviations: dict[str, str] | None = None, stop_words: tuple[str, ...] = ()) -> Column:
     """Lower-case words of a name without punctuation, abbreviations spelled out, stop words dropped."""
@@ -75,8 +84,8 @@ def unsupported_numbers(text: Column, facts: Column, tolerance: float = 0.5) ->
 
 def sentences(text: Column, least: int = 3) -> Column:
     """Sentences with at least so many characters, trimmed."""
-    marked = F.regexp_replace(text, r"([.!?])\s+", "$1\n")
-    return F.filter(F.transform(F.split(marked, "\n"), F.trim), lambda s: F.length(s) >= least)
+    marked = F.regexp_replace(text, rf"([.!?]){BLANK}+", "$1\n")
+    return F.filter(F.transform(F.split(marked, "\n"), trimmed), lambda s: F.length(s) >= least)
 
 
 def first_match(text: Column, rules: list[tuple[str, str]]) -> Column:
