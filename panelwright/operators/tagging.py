@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.functions.text import BLANK, trimmed
+
 
 @dataclass(frozen=True)
 class Taxonomy:
@@ -67,8 +69,8 @@ def _any(patterns: Iterable[str]) -> str:
 
 def split_sentences(text: Column) -> Column:
     """Sentences of more than three characters, trimmed; 'Stage - I' stays together."""
-    joined = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)\b(stage|phase)\s+-\s+", "$1-")
-    return F.filter(F.transform(F.split(F.regexp_replace(joined, r"([.!?;])\s+", "$1\n"), "\n"), F.trim), lambda s: F.length(s) > 3)
+    joined = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?i)\b(stage|phase){BLANK}+-{BLANK}+", "$1-")
+    return F.filter(F.transform(F.split(F.regexp_replace(joined, rf"([.!?;]){BLANK}+", "$1\n"), "\n"), trimmed), lambda s: F.length(s) > 3)
 
 
 def first_of(sentence: Column, patterns: list[tuple[str, str]]) -> Column:
