@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions.dates import partial_date
+from panelwright.functions.text import BLANK, trimmed
 
 #: Characters around a word: neither letters nor digits.
 EDGE = r"[^\p{L}\p{N}_]"
@@ -18,11 +19,15 @@ HONORIFICS = ("Shri", "Smt", "Mr", "Mrs", "Ms", "Dr", "Prof")
 
 
 def free_text(text: Column, templates: tuple[str, ...] = TEMPLATES, least_words: int = 3) -> Column:
-    """text without its templates, white space made single; null if fewer than least_words words are left."""
+    """text without its templates, white space made single; null if fewer than least_words words are left.
+
+    A template that begins with the rest of a line can only match at the line's beginning or where the last match ended, so it is tried there alone:
+    from every character, a long line would take time by the square."""
     bare = F.coalesce(text, F.lit(""))
     for pattern in templates:
-        bare = F.regexp_replace(bare, f"(?i){pattern}", " ")
-    bare = F.trim(F.regexp_replace(bare, r"\s+", " "))
+        at = r"(?:(?<![^\n])|\G)" if pattern.startswith(r"[^\n]*") and "|" not in pattern else ""
+        bare = F.regexp_replace(bare, f"(?i){at}{pattern}", " ")
+    bare = trimmed(F.regexp_replace(bare, rf"{BLANK}+", " "))
     return F.when(F.size(F.filter(F.split(bare, " "), lambda w: w != "")) >= least_words, bare)
 
 
