@@ -593,13 +593,25 @@ def agg_indicator_map(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("indicator"), key.alias("key")).agg(F.count("*").alias("n"), month(F.min("ts")).alias("first"), month(F.max("ts")).alias("last"))
 
 
+#: Lines that a task of the roads' rollup takes, about: its memory does not grow with the table.
+LINES_A_TASK = 500_000
+
+
 @query("join_road_rollup", "SELECT s_nationkey AS road, p_brand AS district, count(DISTINCT l_partkey) AS stretches, CAST(sum(p_size) AS BIGINT) AS km FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey GROUP BY GROUPING SETS ((s_nationkey), (s_nationkey, p_brand))")
 def join_road_rollup(spark, sf_dir):
-    """Stretches rolled up by road and by road and district, each (road, stretch) pair once."""
-    pairs = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey")).distinct()
-    rows = pairs.join(read(spark, sf_dir, "supplier"), "s_suppkey").join(read(spark, sf_dir, "part"), "p_partkey").select(F.col("s_nationkey").alias("road"), F.col("p_brand").alias("district"), "p_partkey", "p_size")
-    sets = rows.groupingSets([["road"], ["road", "district"]], "road", "district")
-    return sets.agg(F.count_distinct("p_partkey").alias("stretches"), F.sum("p_size").alias("km"))
+    """Stretches rolled up by road and by road and district, each (road, stretch) pair once.
+
+    Lines are dealt by part once; pairs, roads of a part and both levels are then counted in place, with no copy of a row a level."""
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey"))
+    dealt = lines.repartition(max(lines.count() // LINES_A_TASK, 8), "p_partkey").distinct()
+    of_part = dealt.join(read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("road")), "s_suppkey").groupBy("road", "p_partkey").agg(F.count("*").alias("pairs"))
+    rows = of_part.join(read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("district"), "p_size"), "p_partkey")
+
+    def level(*keys: str):
+        parts = rows.groupBy(*keys, "p_partkey").agg(F.sum(F.col("pairs") * F.col("p_size")).alias("km"))
+        return parts.groupBy(*keys).agg(F.count("p_partkey").alias("stretches"), F.sum("km").alias("km"))
+
+    return level("road").select("road", F.lit(None).cast("string").alias("district"), "stretches", "km").unionByName(level("road", "district"))
 
 
 @query(
