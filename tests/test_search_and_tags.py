@@ -51,6 +51,19 @@ def test_pruned_ranks_equal_all_rows_and_blocks_are_left_out(spark):
     assert wanted < 0.5 * every
 
 
+def test_an_index_of_asked_terms_has_the_weights_of_the_whole_and_ties_go_by_key(spark):
+    docs = [(i, "w0 w1 w2 w2") for i in range(40)] + [(i, f"w0 w3 w{i}") for i in range(40, 60)] + [(60, "w7"), (60, "w7 w8"), (61, None)]
+    asked = [(1, "w1 w2"), (2, "w3 w8"), (3, "zzz")]
+    rows, queries = spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame(asked, "q long, t string")
+    told = lambda df: {(r["key"], r["term"], round(r["weight"], 12), round(r["idf"], 12), r["block"]) for r in df.collect()}
+    whole, part = search.index(rows, "d", F.col("t")), search.index(rows, "d", F.col("t"), (queries, F.col("t")))
+    assert told(part) == {r for r in told(whole) if r[1] in {"w1", "w2", "w1 w2", "w3", "w8"}}
+    blocks = search.block_table(part)
+    found = search.rank(part, blocks, search.query_terms(queries, "q", F.col("t"), blocks), 7).collect()
+    assert sorted((r["rank"], r["key"]) for r in found if r["query"] == 1) == [(n + 1, n) for n in range(7)]
+    assert {r["key"] for r in found if r["query"] == 2} == {60, *range(40, 46)}
+
+
 @pytest.mark.parametrize(
     "text, expected",
     [
