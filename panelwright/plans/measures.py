@@ -72,9 +72,9 @@ def _prior_sql() -> str:
 def agg_prior_intervals(spark, sf_dir):
     """Every prior with its interval by resampled customers and its p value corrected for their number."""
     orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_totalprice", "o_orderstatus", "o_orderpriority", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
-    found = []
+    found, drawn = [], resampling.draws(orders, "k", N_BOOT)
     for name, group, base, strata in PRIORS:
         rows = orders.withColumn("g", F.expr(group)).withColumn("b0", F.expr(base))
-        found.append(resampling.matched_difference(rows, "k", "o_totalprice", strata, "g", "b0", N_BOOT).select(F.lit(name).alias("prior"), "*"))
+        found.append(resampling.matched_difference(rows, "k", "o_totalprice", strata, "g", "b0", N_BOOT, drawn_=drawn).select(F.lit(name).alias("prior"), "*"))
     every = aggregates.holm(reduce(DataFrame.unionByName, found), "p", "prior")
     return every.select("prior", *[F.round(c, 4).alias(c) for c in ("extra", "lo", "hi", "mean_in", "mean_out")], F.round("p", 9).alias("p"), F.round("matched", 6).alias("matched"), F.round("p_holm", 9).alias("p_holm"))

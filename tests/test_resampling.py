@@ -65,3 +65,10 @@ def test_matched_difference_equals_plain_loops(spark):
     assert (r["extra"], r["matched"]) == pytest.approx(estimate(lambda k: 1))
     assert (r["lo"], r["hi"]) == pytest.approx(tuple(np.percentile(draws, [2.5, 97.5])))
     assert r["p"] == pytest.approx(max(min(1.0, 2 * min(np.mean([d <= 0 for d in draws]), np.mean([d >= 0 for d in draws]))), 1 / 50))
+
+
+def test_no_row_is_multiplied_by_the_resamples(spark):
+    rows = spark.createDataFrame([(i, i % 3, float(i), i % 2 == 0, i % 2 == 1) for i in range(30)], "k long, s int, v double, g boolean, b boolean")
+    out = R.matched_difference(rows, "k", "v", ["s"], "g", "b", 20, 1)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(_w" not in plan and "MapInArrow" in plan
