@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelwright.operators import resampling as R
@@ -72,3 +73,10 @@ def test_no_row_is_multiplied_by_the_resamples(spark):
     out = R.matched_difference(rows, "k", "v", ["s"], "g", "b", 20, 1)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode(_w" not in plan and "MapInArrow" in plan
+
+
+def test_weights_of_rows_with_scores_of_their_own_are_short(spark):
+    n, pos = np.array([[1, 0, 3], [1, 2, 0], [200, 1, 1]]), np.array([[0, 0, 0], [1, 2, 0], [1, 1, 0]])
+    batch = pa.RecordBatch.from_arrays(R._packed(n, pos), ["wide", "n", "pos"])
+    assert [len(x) for x in batch.column("n").to_pylist()] == [3, 3, 24] and [len(x) for x in batch.column("pos").to_pylist()] == [0, 1, 24]
+    assert all((a == b).all() for a, b in zip(R._opened(batch), (n, pos)))
