@@ -50,11 +50,12 @@ def constrained_components(links: DataFrame, marks: DataFrame, order: list[str],
     of links, and the links with refused, the first mark in the way, null for those that hold.
 
     The result is that of taking the links one by one. Links are taken in rounds that only decide what no open link can
-    change: a link between components that clash now is refused, as components only grow. A component's first open link holds if no component within
-    reach that clashes with it has an earlier open link, as nothing that clashes can have joined the other end before; and so it does
-    if it is the first one of both ends. What is in reach, the components of all links, is found once; where all of it has one value of each mark all
-    links hold. A component is rows of marks and links, never gathered; every round is written to the shared folder.
-    The last tail links and marks are taken one by one by the driver; with 0 none are.
+    change: a link between components that clash now is refused, as components only grow. A component's first open link holds if, for each of
+    its marks, the other end has it already (with the same value, and so never takes another) or no component within reach with another value
+    has an earlier open link, as nothing that clashes can have joined the other end before; and so it
+    does if it is the first one of both ends. What is in reach, the components of all links, is found once; where all of it has one value of each mark all
+    links hold. A component is rows of marks and links, never gathered, and is left out once it has no open link; every round is written to the
+    shared folder. The last tail links and marks are taken one by one by the driver; with 0 none are.
     """
     rank = F.struct(*order, F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"))
     open_ = _cut(links.where("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min(rank).alias("rank")))
@@ -74,19 +75,22 @@ def constrained_components(links: DataFrame, marks: DataFrame, order: list[str],
                 refused = now if refused is None else refused.unionByName(now)
                 break
         side = lambda end: held.select(F.col("comp").alias(end), "mark", F.col("value").alias(f"v_{end}"))
-        clashes = open_.join(side("a"), "a").join(side("b"), ["b", "mark"]).where("v_a <> v_b")
-        now = _cut(clashes.groupBy("u", "v").agg(F.min("mark").alias("refused")))
+        # Many links join the same two components, which are compared once.
+        clashes = open_.select("a", "b").distinct().join(side("a"), "a").join(side("b"), ["b", "mark"]).where("v_a <> v_b").groupBy("a", "b").agg(F.min("mark").alias("refused"))
+        judged = _cut(open_.join(clashes, ["a", "b"], "left"))
+        now = judged.where("refused IS NOT NULL").select("u", "v", "refused")
         refused = now if refused is None else refused.unionByName(now)
-        left = _cut(open_.join(now, ["u", "v"], "left_anti"))
+        left = judged.where("refused IS NULL").drop("refused")
         ends = left.select("u", "v", "rank", F.inline(F.array(F.struct(F.col("a").alias("comp"), F.col("b").alias("other")), F.struct(F.col("b").alias("comp"), F.col("a").alias("other")))))
         first = _cut(ends.groupBy("comp").agg(F.min(F.struct("rank", "u", "v", "other")).alias("f")).select("comp", "f.*"))
 
-        holders = held.join(first.select("comp", "rank"), "comp")
+        holders = held.join(first.select("comp", "rank", "other"), "comp")
         by_value = holders.groupBy("home", "mark", "value").agg(F.min("rank").alias("rank"))
         earliest = by_value.groupBy("home", "mark").agg(F.min(F.struct("rank", "value")).alias("e"))
         next_ = by_value.join(earliest, ["home", "mark"]).where(F.col("value") != F.col("e.value")).groupBy("home", "mark").agg(F.min("rank").alias("next"))
         rival = F.when(F.col("value") == F.col("e.value"), F.col("next")).otherwise(F.col("e.rank"))
-        unsafe = holders.join(earliest, ["home", "mark"]).join(next_, ["home", "mark"], "left").where(rival < F.col("rank")).select("comp").distinct()
+        bare = holders.join(held.select(F.col("comp").alias("other"), "mark").distinct(), ["other", "mark"], "left_anti")
+        unsafe = bare.join(earliest, ["home", "mark"]).join(next_, ["home", "mark"], "left").where(rival < F.col("rank")).select("comp").distinct()
 
         votes = first.join(unsafe.withColumn("_unsafe", F.lit(True)), "comp", "left").groupBy("u", "v").agg(F.count("*").alias("n"), F.bool_or(F.col("_unsafe").isNull()).alias("safe"), F.min("comp").alias("a"), F.max("other").alias("c"), F.min("other").alias("d"))
         taken = votes.where("n = 2 OR safe").select(F.col("a").alias("u"), F.when(F.col("c") == F.col("a"), F.col("d")).otherwise(F.col("c")).alias("v"))
@@ -95,8 +99,9 @@ def constrained_components(links: DataFrame, marks: DataFrame, order: list[str],
             continue
         moved = _cut(components(some).where("node <> root"))
         of = lambda df, end: df.join(moved.select(F.col("node").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
-        held = _cut(of(held, "comp").distinct())
-        open_ = _cut(of(of(left, "a"), "b").where("a <> b").select("u", "v", "rank", "a", "b"))
+        open_ = _cut(of(of(left, "a"), "b").where("a <> b").select("u", "v", "rank", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        going = open_.select(F.explode(F.array("a", "b")).alias("comp")).distinct()
+        held = _cut(of(held, "comp").join(going, "comp", "left_semi").distinct())
     told = links if refused is None else links.withColumn("_u", F.least("u", "v")).withColumn("_v", F.greatest("u", "v")).join(refused.select(F.col("u").alias("_u"), F.col("v").alias("_v"), "refused"), ["_u", "_v"], "left").drop("_u", "_v")
     told = told if refused is not None else told.withColumn("refused", F.lit(None).cast("string"))
     good = told.where("refused IS NULL").select("u", "v").unionByName(every.select(F.col("node").alias("u"), F.col("node").alias("v")))
