@@ -61,9 +61,9 @@ def constrained_components(links: DataFrame, marks: DataFrame, order: list[str],
     open_ = _cut(links.where("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min(rank).alias("rank")))
     every = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     homes = components(open_) if open_.take(1) else every.select("node", F.col("node").alias("root"))
-    homed = marks.distinct().join(homes.select("node", F.col("root").alias("home")), "node")
+    homed = marks.join(homes.select("node", F.col("root").alias("home")), "node")
     contested = homed.groupBy("home", "mark").agg(F.min("value").alias("a"), F.max("value").alias("b")).where("a <> b").select("home", "mark")
-    held = _cut(homed.join(contested, ["home", "mark"], "left_semi").select(F.col("node").alias("comp"), "home", "mark", "value"))
+    held = _cut(homed.join(contested, ["home", "mark"], "left_semi").select(F.col("node").alias("comp"), "home", "mark", "value").distinct())
     doubtful = homes.join(held.select(F.col("home").alias("root")).distinct(), "root", "left_semi").select("node")
     open_ = _cut(open_.join(doubtful.withColumnRenamed("node", "u"), "u", "left_semi").select("u", "v", "rank", F.col("u").alias("a"), F.col("v").alias("b")))
     refused = None
@@ -112,28 +112,34 @@ def corroborated(links: DataFrame, rows: DataFrame, exact: float = 0.011, near:
     """links (a, b) with detail, what speaks for a and b being one: an equal cost, a cost within near and names somewhat alike, or names alike.
 
     rows has code, name (words) and cost of what is printed under each code; null where nothing speaks for a link. Costs meet by buckets
-    and names by their distinct spellings, so no two rows of a code are paired.
+    and names by their distinct spellings, so no two rows of a code are paired. One meeting tells both near and equal costs, as buckets
+    of nearness are wider but for small costs, which meet once more; a cost of a is in one bucket, one of b in those that it reaches.
     """
     pairs = links.select("a", "b").distinct()
-    costs = rows.where("code IS NOT NULL AND cost IS NOT NULL").select("code", F.round("cost", 2).alias("cost")).distinct()
-    names = rows.where("code IS NOT NULL AND name IS NOT NULL").select("code", "name").distinct()
+    told = rows.where("code IS NOT NULL")
+    costs = told.where("cost IS NOT NULL").select("code", F.round("cost", 2).alias("cost")).repartition("code").distinct()
+    names = told.where("name IS NOT NULL").select("code", "name").distinct()
     side = lambda df, end, value: df.select(F.col("code").alias(end), F.col(value).alias(f"{value}_{end}"))
-
-    def close(width: float, bucket) -> DataFrame:
-        ours = pairs.join(side(costs, "a", "cost"), "a").withColumn("k", F.explode(F.sequence(bucket(F.col("cost_a")) - 1, bucket(F.col("cost_a")) + 1)))
-        theirs = side(costs, "b", "cost").withColumn("k", bucket(F.col("cost_b")))
-        return ours.join(theirs, ["b", "k"]).where(F.abs(F.col("cost_a") - F.col("cost_b")) <= width).select("a", "b").distinct()
-
-    equal = close(exact, lambda c: F.floor(c / (2 * exact))).withColumn("_equal", F.lit(True))
-    logs = lambda c: F.floor(F.log(F.greatest(c, F.lit(1e-6))) / F.log1p(F.lit(2 * near)))
-    ours = pairs.join(side(costs, "a", "cost"), "a").withColumn("k", F.explode(F.sequence(logs(F.col("cost_a")) - 1, logs(F.col("cost_a")) + 1)))
-    theirs = side(costs, "b", "cost").withColumn("k", logs(F.col("cost_b")))
-    within = ours.join(theirs, ["b", "k"]).where(F.abs(F.col("cost_a") - F.col("cost_b")) <= near * F.col("cost_b")).select("a", "b").distinct().withColumn("_near", F.lit(True))
+    ours = pairs.join(side(costs, "a", "cost"), "a")
+    theirs = side(costs, "b", "cost").join(pairs.select("b").distinct(), "b", "left_semi")
+    gap, slack = F.abs(F.col("cost_a") - F.col("cost_b")), 1.001
+
+    def met(left: DataFrame, bucket, low, high) -> DataFrame:
+        spread = theirs.withColumn("k", F.explode(F.sequence(bucket(low), bucket(high))))
+        return left.withColumn("k", bucket(F.col("cost_a"))).join(spread, ["b", "k"]).select("a", "b", (gap <= exact).alias("_equal"), (gap <= near * F.col("cost_b")).alias("_near"))
+
+    cost = F.col("cost_b")
+    logs = lambda c: F.floor(F.log(F.greatest(c, F.lit(1e-6))) / (2 * F.log1p(F.lit(2 * near))))
+    small = ours.where(F.col("cost_a") < 2 * exact / near + exact) if near > 0 else ours
+    by_cost = met(small, lambda c: F.floor(c / (4 * exact)), cost - slack * exact, cost + slack * exact)
+    if near > 0:
+        by_cost = by_cost.unionByName(met(ours, logs, cost * (1 - slack * near), cost * (1 + slack * near)))
+    by_cost = by_cost.where("_equal OR _near").groupBy("a", "b").agg(F.bool_or("_equal").alias("_equal"), F.bool_or("_near").alias("_near"))
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
-    met = pairs.join(side(names, "a", "name"), "a").join(side(names, "b", "name"), "b").withColumn("wa", words(F.col("name_a"))).withColumn("wb", words(F.col("name_b")))
+    spelt = pairs.join(side(names, "a", "name"), "a").join(side(names, "b", "name"), "b").withColumn("wa", words(F.col("name_a"))).withColumn("wb", words(F.col("name_b")))
     shared = F.size(F.array_intersect("wa", "wb"))
-    likeness = met.groupBy("a", "b").agg(F.max(F.coalesce(F.try_divide(shared, F.size("wa") + F.size("wb") - shared), F.lit(0.0))).alias("_alike"))
-    found = pairs.join(equal, ["a", "b"], "left").join(within, ["a", "b"], "left").join(likeness, ["a", "b"], "left")
+    likeness = spelt.groupBy("a", "b").agg(F.max(F.coalesce(F.try_divide(shared, F.size("wa") + F.size("wb") - shared), F.lit(0.0))).alias("_alike"))
+    found = pairs.join(by_cost, ["a", "b"], "left").join(likeness, ["a", "b"], "left")
     detail = F.when(F.col("_equal"), "cost").when(F.col("_near") & (F.col("_alike") >= alike_near), "near cost and name").when(F.col("_alike") >= alike, "name")
     return links.join(found.select("a", "b", detail.alias("detail")), ["a", "b"], "left")
 
@@ -143,21 +149,23 @@ def name_pairs(rows: DataFrame) -> DataFrame:
     period of the stream and another list. A name that a list has twice tells nothing, for the row and for what it might continue; rows of
     different agencies are no pair.
 
-    rows has row, code, stream, period, list, name, sector and agency. A name has one row a list, so a row meets few.
+    rows has row, code, stream, period, list, name, sector and agency. A name has one row a list, so a row meets few; rows of a name that a
+    list has twice are met as that list, not one by one.
     """
-    named = rows.where("name <> ''")
-    many = named.groupBy("stream", "period", "list", "name").agg((F.count("*") > 1).alias("twice"))
+    named = rows.where("name <> '' AND stream IS NOT NULL AND period IS NOT NULL AND list IS NOT NULL")
+    many = named.groupBy("stream", "period", "list", "name").agg(F.count("*").alias("_n")).where("_n > 1").select("stream", "period", "list", "name", F.lit(True).alias("twice"))
     group = ["stream", "name", "sector"]
-    told = named.join(many, ["stream", "period", "list", "name"])
+    told = _cut(named.join(many, ["stream", "period", "list", "name"], "left").select("row", "code", "period", "list", *group, "agency", F.coalesce("twice", F.lit(False)).alias("twice")))
     periods = rows.select("stream", "period").distinct()
     w = Window.partitionBy("stream").orderBy("period")
     around = periods.select("stream", "period", F.array_compact(F.array(F.lag("period").over(w), "period", F.lead("period").over(w))).alias("near"))
-    asked = told.where("code IS NULL AND NOT twice").join(around, ["stream", "period"]).select("row", *group, F.col("list").alias("own"), F.col("period").alias("at"), "agency", F.explode("near").alias("period"))
-    others = told.select(*group, "period", F.col("row").alias("other"), "list", "twice", F.col("agency").alias("o_agency"), F.col("code").alias("o_code"))
-    met = asked.join(others, [*group, "period"]).where((F.col("row") != F.col("other")) & ((F.col("list") != F.col("own")) | (F.col("period") != F.col("at"))))
-    odd = met.where("twice").select("row").distinct()
+    asked = told.where("code IS NULL AND NOT twice").join(F.broadcast(around), ["stream", "period"]).select("row", *group, F.col("list").alias("own"), F.col("period").alias("at"), "agency", F.explode("near").alias("period"))
+    elsewhere = (F.col("list") != F.col("own")) | (F.col("period") != F.col("at"))
+    odd = asked.join(told.where("twice").select(*group, "period", "list").distinct(), [*group, "period"]).where(elsewhere).select("row").distinct()
+    others = told.where("NOT twice").select(*group, "period", F.col("row").alias("other"), "list", F.col("agency").alias("o_agency"), F.col("code").alias("o_code"))
+    met = asked.join(odd, "row", "left_anti").join(others, [*group, "period"]).where((F.col("row") != F.col("other")) & elsewhere)
     differ = F.coalesce((F.col("agency") != F.col("o_agency")) & (F.col("agency") != "") & (F.col("o_agency") != ""), F.lit(False))
-    return met.join(odd, "row", "left_anti").where(~differ).select("row", "other", "o_code")
+    return met.where(~differ).select("row", "other", "o_code")
 
 
 def clean_keys(rows: DataFrame, alternatives: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -187,32 +195,35 @@ def clean_keys(rows: DataFrame, alternatives: DataFrame) -> tuple[DataFrame, Dat
     chained = pairs.where("o_code IS NULL").select(F.concat(F.lit("ROW:"), F.col("row").cast("string")).alias("u"), F.concat(F.lit("ROW:"), F.col("other").cast("string")).alias("v"))
     links = judged.where("why IS NULL").select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(0).alias("phase"))
     links = links.unionByName(chained.withColumn("phase", F.lit(1)))
-    itself = rows.select(F.col("node").alias("u"), F.col("node").alias("v"), F.lit(2).alias("phase"))
     codes = rows.where("code IS NOT NULL").select("code").union(judged.where("why IS NULL").select(F.explode(F.array("a", "b")))).distinct()
     marks = rows.select("node", slot.alias("mark"), F.col("node").alias("value")).unionByName(codes.select(F.col("code").alias("node"), system(F.col("code")).alias("mark"), F.col("code").alias("value")))
-    roots, told = constrained_components(links.unionByName(itself), marks, ["phase"])
-    roots = _cut(roots)
+    # Nodes without a link are their own roots and go through no union.
+    roots, told = constrained_components(links, marks, ["phase"])
+    linked = _cut(roots)
+    rooted_by = lambda df, c, name: df.join(linked.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
 
-    rooted = rows.join(roots, "node")
-    earliest = rooted.where("code IS NULL").groupBy("root").agg(F.min(F.struct("period", "row", "name", "sector")).alias("e"), F.min("row").alias("least"))
+    rooted = rooted_by(rows.where("code IS NULL").select("node", "code", "row", "period", "name", "sector"), "node", "root")
+    earliest = rooted.groupBy("root").agg(F.min(F.struct("period", "row", "name", "sector")).alias("e"), F.min("row").alias("least"))
     digest = F.concat(F.lit("NAME:"), F.substring(F.sha1(F.concat_ws("|", "e.name", "e.sector", F.col("e.period").cast("string"))), 1, 10))
     same = Window.partitionBy("base").orderBy("least")
     named = earliest.select("root", digest.alias("base"), "least").withColumn("n", F.row_number().over(same))
     named = _cut(named.select("root", F.when(F.col("n") > 1, F.concat_ws("-", "base", "n")).otherwise(F.col("base")).alias("name_key")))
 
-    end = lambda c, name: roots.select(F.col("node").alias(c), F.col("root").alias(name))
     coded = pairs.where("o_code IS NOT NULL").select(F.concat(F.lit("ROW:"), F.col("row").cast("string")).alias("x"), F.col("o_code").alias("y"))
-    aims = coded.join(end("x", "chain"), "x").join(end("y", "aim"), "y").groupBy("chain", "aim").agg(F.count("*").alias("n"))
+    aims = rooted_by(rooted_by(coded, "x", "chain"), "y", "aim").groupBy("chain", "aim").agg(F.count("*").alias("n"))
     several = aims.groupBy("chain").agg((F.count("*") > 1).alias("several"))
     wanted = _cut(aims.join(several, "chain").join(named, F.col("chain") == F.col("root")).select("chain", "aim", "n", "several", "name_key"))
-    root_marks = marks.join(roots, "node").select(F.col("root").alias("node"), "mark", "value").distinct()
-    all_roots = roots.select(F.col("root").alias("u"), F.col("root").alias("v"), F.lit("").alias("name_key")).distinct()
-    joins = wanted.where("NOT several").select(F.col("chain").alias("u"), F.col("aim").alias("v"), "name_key").unionByName(all_roots)
+    joins = wanted.where("NOT several").select(F.col("chain").alias("u"), F.col("aim").alias("v"), "name_key")
+    ends = joins.select(F.explode(F.array("u", "v")).alias("root")).distinct()
+    joined = linked.join(ends, "root", "left_semi").unionByName(ends.select(F.col("root").alias("node"), "root")).distinct()
+    root_marks = marks.join(joined, "node").select(F.col("root").alias("node"), "mark", "value")
     last, told_names = constrained_components(joins, root_marks, ["name_key"])
 
-    final = _cut(roots.join(last.select(F.col("node").alias("root"), F.col("root").alias("final")), "root").select("node", "root", "final"))
+    nodes = rooted_by(rows.where("code IS NULL").select("node").distinct().unionByName(codes.select(F.col("code").alias("node"))), "node", "root")
+    final = _cut(nodes.join(last.select(F.col("node").alias("root"), F.col("root").alias("final")), "root", "left").select("node", "root", F.coalesce("final", "root").alias("final")))
     smallest = codes.join(final, F.col("code") == F.col("node")).groupBy("final").agg(F.min("code").alias("smallest"))
-    keyed = rows.join(final, "node").join(smallest, "final", "left").join(named, "root", "left")
+    keys = final.join(smallest, "final", "left").join(named, "root", "left").select("node", "smallest", "name_key").where("smallest IS NOT NULL OR name_key IS NOT NULL")
+    keyed = rows.select("row", "code", "node").join(keys, "node")
     key = F.coalesce("smallest", "name_key")
     source = F.when(F.col("code") == key, "printed code").when(F.col("code").isNotNull(), "crosswalk").when(F.col("smallest").isNull(), "name chain").otherwise("name link to code")
     tried = judged.join(told.select(F.col("u").alias("a"), F.col("v").alias("b"), "refused"), ["a", "b"], "left").select("a", "b", F.lit("code").alias("evidence"), F.coalesce("why", "refused").alias("why"))
