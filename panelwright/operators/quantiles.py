@@ -54,7 +54,8 @@ def bound_sums(x: np.ndarray, y: np.ndarray, level: float, beta: np.ndarray | No
     r = y - x @ beta if beta is not None else np.zeros(len(y))
     w = 1.0 / np.maximum(np.abs(r), floor) if beta is not None else np.ones(len(y))
     tilt = (2 * level - 1) * x.sum(0) if beta is not None else 0.0
-    return (x * w[:, None]).T @ x, (x * w[:, None]).T @ y + tilt, float(np.maximum(level * r, (level - 1) * r).sum())
+    weighted = (x * w[:, None]).T
+    return weighted @ x, weighted @ y + tilt, float(np.maximum(level * r, (level - 1) * r).sum())
 
 
 def solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
