@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.operators import aggregates, resampling
+from panelwright.sources.together import together
 
 #: A variant: from training rows, test rows and a seed to the test rows with p.
 Variant = Callable[[DataFrame, DataFrame, int], DataFrame]
@@ -27,18 +28,20 @@ class Run:
     def _part(self, variant: str, fold: int, seed: int) -> str:
         return f"{self.folder}/variant={variant}/fold={fold}/seed={seed}"
 
-    def fill(self, variants: dict[str, Variant], folds: list[int], seeds: list[int], split: Callable[[int], tuple[DataFrame, DataFrame]]) -> int:
-        """Fits what is missing and returns how many fits that took. A part whose write broke off is written again."""
-        fits = 0
-        for fold in folds:
-            for name, variant in variants.items():
-                for seed in seeds:
-                    path = self._part(name, fold, seed)
-                    if not _is_there(self.spark, f"{path}/_SUCCESS"):
-                        found = variant(*split(fold), seed).select(*self.keep, F.col(self.y).cast("int").alias("y"), F.col("p").cast("double").alias("p"))
-                        found.write.mode("overwrite").parquet(path)
-                        fits += 1
-        return fits
+    def fill(self, variants: dict[str, Variant], folds: list[int], seeds: list[int], split: Callable[[int], tuple[DataFrame, DataFrame]], at_once: int = 1) -> int:
+        """Fits what is missing, at_once together, and returns how many fits that took; none is begun after one that failed. A part whose write
+        broke off is written again."""
+        asked = [(name, fold, seed) for fold in folds for name in variants for seed in seeds]
+        missing = [one for one in asked if not _is_there(self.spark, f"{self._part(*one)}/_SUCCESS")]
+
+        def fit(one: tuple[str, int, int]) -> None:
+            name, fold, seed = one
+            found = variants[name](*split(fold), seed).select(*self.keep, F.col(self.y).cast("int").alias("y"), F.col("p").cast("double").alias("p"))
+            found.write.mode("overwrite").parquet(self._part(*one))
+
+        for i in range(0, len(missing), at_once):
+            together(self.spark, fit, missing[i : i + at_once], at_once)
+        return len(missing)
 
     def scores(self) -> DataFrame:
         """All scored rows with variant, fold and seed."""
