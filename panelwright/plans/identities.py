@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.functions.dates import quarter_index
 from panelwright.operators import identity
 from panelwright.plans.registry import query
+from panelwright.sources.scratch import stored
 from panelwright.sources.tables import read
 
 
@@ -21,7 +22,7 @@ def er_constrained_components(spark, sf_dir):
     links = orders.join(items, "o_orderkey").groupBy("c", "s").agg((-F.sum("cents")).alias("less")).select(customer.alias("u"), supplier.alias("v"), "less")
     segments = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.lit("segment").alias("mark"), F.col("c_mktsegment").alias("value"))
     nations = read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("mark"), F.col("s_suppkey").cast("string").alias("value"))
-    roots, told = identity.constrained_components(links, segments.unionByName(nations), ["less"])
+    roots, told = identity.constrained_components(stored(links), segments.unionByName(nations), ["less"])
     refused = told.where("refused IS NOT NULL").select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_refused"))
     return roots.join(refused, "node", "left").select("node", "root", F.coalesce("n_refused", F.lit(0)).cast("long").alias("n_refused"))
 
